@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cytoquill.llm import codec, licenses, media, token_counts, topk, url_filters
 from cytoquill.llm.common import read_table
 
 
@@ -15,14 +17,59 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cytoquill.llm.codec import codec_digests
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), url_filters.page_outcomes(read_table(spark, sf_dir, "labels")))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    items = media.resolve(media.interleave(media.text_pages(docs)), media.media_features(media.text_media(docs)))
+    return items.where("kind = 'media'").select(
+        F.col("id").alias("doc_id"),
+        F.regexp_extract("caption", r"^(\d+) bytes", 1).cast("long").alias("n_bytes"),
+        F.col("media_payload_bytes").alias("payload_bytes"),
+        F.col("media_payload_sha256").alias("payload_sha256"),
+        F.col("media_tail_crc32").alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.col("media_feature").alias("feature"),
+        "position",
+        "caption",
+    )
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
 
-    return codec_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(licenses.scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.codec_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
+    "op3_media_columns": op3_media_columns,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_license_scan": op6_license_scan,
+    "op7_token_counts": op7_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_url_filters": url_filters.oracle_sql(),
+    "op5_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
+}
