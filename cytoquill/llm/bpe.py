@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 #: White space, letters and numbers among the characters that FAST covers, after lower-casing.
@@ -71,7 +72,9 @@ class WordBpe:
         self.apart: dict[tuple[int, int], bool] = {}
         self.inner = {k: i for k, i in self.inner.items() if self._whole(i)}
         self.final = {k: i for k, i in self.final.items() if self._whole(i)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.ends = {*self.final.values()}
+        self.inner_reach, self.final_reach = self._reach(self.inner), self._reach(self.final)
+        self.four = {i: i.to_bytes(4, "little") for i in [*self.text, *(a["id"] for a in spec["added_tokens"])]}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._clear()
@@ -80,6 +83,14 @@ class WordBpe:
         self.ids: dict[str, bytes] = {t: i.to_bytes(4, "little") for t, i in self.added.items()}
         self.shown: dict[str, bytes] = {t: t.encode() for t in self.added}
 
+    @staticmethod
+    def _reach(known: dict[bytes, int]) -> dict[bytes, int]:
+        """Length of the longest token with these last two bytes."""
+        out: dict[bytes, int] = {}
+        for t in known:
+            out[t[-2:]] = max(out.get(t[-2:], 1), len(t))
+        return out
+
     def _stays_apart(self, a: int, b: int, below: int) -> bool:
         """No merge of rank under ``below`` joins what the merges make of the end of a and the start of b.
 
@@ -114,36 +125,44 @@ class WordBpe:
             got = self.apart[a, b] = self._stays_apart(a, b, 1 << 60)
         return got
 
-    def _state(self, w: bytes, n: int, path: list[tuple[int, int]], known: dict[bytes, int]) -> tuple[int, int]:
-        """Last token of the first n bytes of w, and its length; path has the states of all shorter prefixes."""
-        for size in range(min(n, self.longest), 0, -1):
-            t = known.get(w[n - size : n])
-            if t is not None and (size == n or self._pair(path[n - size - 1][0], t)):
-                return t, size
-        raise ValueError(f"no encoding for {w[:n]!r}")
-
-    def encode_trie(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words, by one depth-first walk of their trie."""
-        out: dict[bytes, list[int]] = {}
-        path: list[tuple[int, int]] = []
+    def encode_trie(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """Distinct words with their ids, by one depth-first walk of their trie."""
+        pair, apart = self._pair, self.apart.get
+        tokens: list[int] = []  # last token of each prefix on the path, and its length
+        sizes: list[int] = []
         before = b""
+
+        def last(known: dict[bytes, int], reach: dict[bytes, int], n: int) -> tuple[int, int]:
+            # Exactly one token can end here; all shorter prefixes are on the path.
+            size = min(n, reach.get(w[n - 2 : n], 1)) if n > 1 else 1
+            while size:
+                t = known.get(w[n - size : n])
+                if t is not None:
+                    if size == n:
+                        return t, size
+                    left = tokens[n - size - 1]
+                    ok = apart((left, t))
+                    if pair(left, t) if ok is None else ok:
+                        return t, size
+                size -= 1
+            raise ValueError(f"no encoding for {w[:n]!r}")
+
         for w in sorted(words):
-            most = min(len(before), len(w), len(path))
-            same = 0
-            while same < most and before[same] == w[same]:
-                same += 1
-            del path[same:]
-            for n in range(len(path) + 1, len(w)):
-                path.append(self._state(w, n, path, self.inner))
+            most = min(len(before), len(w) - 1, len(tokens))
+            same = most if before[:most] == w[:most] else next(i for i in range(most) if before[i] != w[i])
+            del tokens[same:], sizes[same:]
+            for n in range(same + 1, len(w)):
+                t, size = last(self.inner, self.inner_reach, n)
+                tokens.append(t)
+                sizes.append(size)
             before = w
-            t, size = self._state(w, len(w), path, self.final)
+            t, size = last(self.final, self.final_reach, len(w))
             ids, at = [t], len(w) - size
             while at:
-                t, size = path[at - 1]
-                ids.append(t)
-                at -= size
-            out[w] = ids[::-1]
-        return out
+                ids.append(tokens[at - 1])
+                at -= sizes[at - 1]
+            ids.reverse()
+            yield w, ids
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text, and added tokens as they stand."""
@@ -160,25 +179,44 @@ class WordBpe:
             return [bytes(self.byte_of[c] for c in p).decode("utf-8", "surrogateescape") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return _WORD.findall(text.lower())
 
-    def learn(self, new: Iterable[str]) -> None:
-        """Fill the caches for distinct words that they lack."""
+    def learn(self, new: Iterable[str], shown: bool = True) -> None:
+        """Fill the caches for distinct words that they lack, by the trie walk."""
         by_bytes = {w.encode("utf-8", "surrogateescape"): w for w in new}
-        for raw, ids in self.encode_trie(by_bytes).items():
+        four, text = self.four.__getitem__, self.text.__getitem__
+        for raw, ids in self.encode_trie(by_bytes):
             w = by_bytes[raw]
-            self.ids[w] = b"".join(i.to_bytes(4, "little") for i in ids)
-            self.shown[w] = " ".join(map(self.text.__getitem__, ids)).encode()
+            self.ids[w] = b"".join(map(four, ids))
+            if shown:
+                self.shown[w] = " ".join(map(text, ids)).encode()
+
+    def learn_by_library(self, new: Iterable[str]) -> None:
+        """Fill ``ids`` for distinct words as the library encodes them, all in one call: each word's last token ends it."""
+        new = list(new)
+        got = self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+        ends = [i + 1 for i, t in enumerate(got) if t in self.ends]
+        if len(ends) != len(new):
+            self.learn(new, shown=False)
+            return
+        raw = struct.pack(f"<{len(got)}I", *got)
+        self.ids.update(zip(new, map(raw.__getitem__, map(slice, [0, *(4 * e for e in ends[:-1])], [4 * e for e in ends])), strict=True))
 
     def split_all(self, texts: list[str | None]) -> list[list[str]]:
-        """Pre-tokens of each text (null: none); afterwards the caches hold each of them."""
+        """Pre-tokens of each text (null: none); afterwards ``ids`` and ``shown`` hold each of them."""
         if len(self.ids) > self.MOST:
             self._clear()
         split = [self.words(t) if t else [] for t in texts]
-        self.learn(set().union(*split).difference(self.ids) if split else ())
+        self.learn(set().union(*split).difference(self.shown))
         return split
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [b"".join(map(self.ids.__getitem__, ws)) for ws in self.split_all(texts)]
+        """Ids of each text as little-endian unsigned 32-bit integers; the library encodes the words that are new."""
+        if len(self.ids) > 2 * self.MOST:
+            self._clear()
+        split = [self.words(t) if t else [] for t in texts]
+        new = set().union(*split).difference(self.ids)
+        if new:
+            self.learn_by_library(new)
+        return [b"".join(map(self.ids.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquill.llm import codec, licenses, media, token_counts, topk, url_filters
+from cytoquill.llm import codec, licenses, media, packing, quality, token_counts, topk, url_filters
 from cytoquill.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -51,6 +55,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.codec_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -58,9 +68,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_media_columns": op3_media_columns,
+    "op4_mixture_packing": op4_mixture_packing,
     "op5_exact_topk": op5_exact_topk,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_gam": op8_quality_gam,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
