@@ -14,21 +14,26 @@ import hashlib
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoquill.llm import shingles, similarity
-from cytoquill.llm.common import arrow_map, materialize
+from cytoquill.llm.common import arrow_map, discard, materialize
 
 
-def signed(docs: DataFrame, width: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n, uid, signature``: set size, 64 bits of the set's digest (null: empty set), and k minima."""
+def row_key() -> Column:
+    """What tells rows apart; rows that repeat both id and text are alike."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def signed(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """``row, doc_id, n, uid, signature``: set size, 64 bits of the set's digest (null: empty set), and k minima."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = shingles.word_shingles(cols["text"], width)
-        return {"doc_id": cols["doc_id"], "n": [len(s) for s in sets], "uid": [uid(s) for s in sets], "signature": list(shingles.signatures(sets, k).view(np.int32))}
+        return {"row": cols["row"], "doc_id": cols["doc_id"], "n": [len(s) for s in sets], "uid": [uid(s) for s in sets], "signature": list(shingles.signatures(sets, k).view(np.int32))}
 
-    return arrow_map(_two(docs, id_col, text_col), run, "doc_id long, n long, uid long, signature array<int>")
+    return arrow_map(docs.select(row_key(), "doc_id", "text"), run, "row long, doc_id long, n long, uid long, signature array<int>")
 
 
 def uid(s: np.ndarray) -> int | None:
@@ -53,30 +58,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity_at_least: Fracti
     Linked are documents whose sets of ``width``-word shingles have this Jaccard similarity or
     more; a component is named by its smallest doc_id, whose row is kept. Documents without words
     are components of their own. Equal sets count as one item, so copies are never compared.
-    Rows that repeat a doc_id are in one component if their sets are linked or equal; rows with a
-    null doc_id join others only as copies. Other columns are left out. The Jaccard condition is
+    Rows that repeat a doc_id are in one component if their sets are linked or equal. Other columns are left out. The Jaccard condition is
     exact; a pair at exactly this similarity stays unseen with a chance of ``miss``.
     """
+    named = _named(docs, width, similarity_at_least, k, miss, id_col, text_col)
+    small = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(small, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _named(docs: DataFrame, width: int, similarity_at_least: Fraction, k: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id, n, root`` of each row; root: the smallest uid of the component, null without words."""
     least = shingles.match_threshold(k, float(similarity_at_least), miss)
-    rows = materialize(signed(docs, width, k, id_col, text_col))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialize(signed(docs, width, k))
     items = rows.where("uid is not null").groupBy("uid").agg(F.first("signature").alias("signature"))
     keys = materialize(prefix_keys(items, k, least))
     members = materialize(similarity.stars(keys))
-    wanted = materialize(members.select("uid").distinct())
-    owners = rows.select("uid", "doc_id").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("doc_id").alias("doc_id"))
-    owners = materialize(owners.where("doc_id is not null").select("doc_id").distinct())
+    wanted = members.select("uid").distinct()
+    owners = rows.select("uid", "row").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("row").alias("row"))
+    owners = materialize(owners.select("row").distinct())
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = shingles.word_shingles(cols["text"], width)
         return {"uid": [uid(s) for s in sets], "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets]}
 
-    sets = materialize(arrow_map(similarity.few_of(_two(docs, id_col, text_col), owners, "doc_id"), run, "uid long, n long, elements binary").dropDuplicates(["uid"]))
-    roots = materialize(similarity.components(similarity.confirm(members, sets, similarity_at_least)))
-    named = rows.select("doc_id", "n", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    small = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(small, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    texts = similarity.few_of(docs.select(row_key(), "text"), owners, "row")
+    sets = materialize(arrow_map(texts.select("text"), run, "uid long, n long, elements binary").dropDuplicates(["uid"]))
+    roots = similarity.components(similarity.confirm(members, sets, similarity_at_least))
+    discard(keys, members, owners, sets)
+    return rows.select("row", "doc_id", "n", "uid").join(roots, "uid", "left").select("row", "doc_id", "n", F.coalesce("root", "uid").alias("root"))
+
 
+def keep_one(docs: DataFrame, width: int = 5, similarity_at_least: Fraction = Fraction(4, 5), k: int = 32, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns: one of each component of ``near_duplicates``, that of the smallest doc_id.
 
-def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    Of rows that repeat both id and text one stays; rows without words all stay, but for such repeats.
+    """
+    mark = "row"
+    while mark in docs.columns:
+        mark += "_"
+    named = _named(docs, width, similarity_at_least, k, miss, id_col, text_col).groupBy("row", "root", "doc_id").agg(F.count("*").alias("c"))
+    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).getField("row").alias("first"))
+    judged = named.join(first, "root", "left").select(F.col("row").alias(mark), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("stays"), "c")
+    judged = materialize(judged.where("not stays or c > 1"))
+    some = F.broadcast if judged.count() <= similarity.FEW else lambda d: d
+    keyed = docs.select("*", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias(mark))
+    once = keyed.join(some(judged.select(mark)), mark, "left_anti")
+    again = keyed.join(some(judged.where("stays").select(mark)), mark, "left_semi").dropDuplicates([mark])
+    return once.select(docs.columns).union(again.select(docs.columns))

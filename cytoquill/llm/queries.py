@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquill.llm import codec, licenses, media, minhash, packing, quality, token_counts, topk, url_filters
+from cytoquill.llm import codec, licenses, lines, media, minhash, packing, quality, token_counts, topk, url_filters
 from cytoquill.llm.common import read_table
 
 
@@ -70,6 +70,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.codec_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filters": op2_url_filters,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_quality_gam": op8_quality_gam,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoquill.llm.common import materialize
+from cytoquill.llm.common import discard, materialize
 
 #: Elements of all sets of a block, about: 8 MB.
 BLOCK = 1 << 20
@@ -26,11 +26,12 @@ FEW = 1 << 19
 
 
 def stars(keys: DataFrame) -> DataFrame:
-    """``leader, uid`` of ``keys`` (key, uid, weight): the leader of a key is its item of the greatest weight, then the smallest uid.
+    """``leader, uid`` of ``keys`` (key, uid, and weight if wanted): a key's leader is its item of the greatest weight, then the smallest uid.
 
-    Each leader stands in its own star; keys of one item have none.
+    Each leader stands in its own star; keys of one item, however often it comes, have none.
     """
-    lead = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("weight")).alias("w"), "uid")).alias("m")).where("c > 1").select("key", F.col("m.uid").alias("leader"))
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "uid")).getField("uid") if "weight" in keys.columns else F.min("uid")
+    lead = keys.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), best.alias("leader")).where("low <> high").select("key", "leader")
     return keys.join(lead, "key").select("leader", "uid").distinct()
 
 
@@ -132,8 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialize(small)
+        before, now = now, materialize(small)
+        discard(before)
         was, mark = mark, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == was:
             break
-    return now.select(F.col("u").alias("uid"), F.col("v").alias("root")).union(now.select(F.col("v").alias("uid"), F.col("v").alias("root")).distinct())
+    roots = materialize(now.select(F.col("u").alias("uid"), F.col("v").alias("root")).union(now.select(F.col("v").alias("uid"), F.col("v").alias("root")).distinct()))
+    discard(now)
+    return roots
