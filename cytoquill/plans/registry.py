@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytoquill.plans import qc_queries  # noqa: F401
+from cytoquill.plans import graph_queries, qc_queries  # noqa: F401
 from cytoquill.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
