@@ -25,42 +25,49 @@ def line_uid(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def bands(sets: list[np.ndarray], count: int, rows: int) -> np.ndarray:
-    """``count`` keys of each set, each of ``rows`` coordinates."""
-    s = shingles.signatures(sets, count * rows).astype(np.uint64).reshape(len(sets), count, rows)
+def bands(texts: list[str], width: int, count: int, rows: int) -> np.ndarray:
+    """``count`` keys of each text, each of ``rows`` coordinates of its signature."""
+    s = shingles.binned_signatures(texts, width, count * rows).astype(np.uint64).reshape(len(texts), count, rows)
     odd = np.random.default_rng(5).integers(1, 1 << 63, (count, rows), dtype=np.uint64) | np.uint64(1)
     return shingles._mixed((s * odd).sum(2, dtype=np.uint64) + np.arange(count, dtype=np.uint64)).view(np.int64)
 
 
 def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows: int) -> DataFrame:
-    """``row, doc_id, line, uid, bands`` of each line of ``least_chars`` characters or more; within a batch, a line that comes again has no bands."""
+    """``row, doc_id, line, uid, chars, bands`` of each line of ``least_chars`` characters or more; within a batch, a line that comes again has no bands."""
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("row", "doc_id", "line", "uid", "bands")}
-        new: dict[str, int] = {}
-        first: list[int | None] = []
-        for row, doc, text in zip(cols["row"], cols["doc_id"], cols["text"], strict=True):
-            for i, raw in enumerate(text.split("\n") if text else ()):
-                line = normal(raw)
-                if len(line) < least_chars:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1 << 20):  # small, so that arrays stay in the cache
+                new: dict[str, int] = {}
+                at: list[int] = []  # of each line, among the new ones
+                owner: list[int] = []
+                number: list[int] = []
+                for d, text in enumerate(part.column(2).to_pylist()):
+                    for i, raw in enumerate(text.split("\n") if text else ()):
+                        line = normal(raw)
+                        if len(line) >= least_chars:
+                            at.append(new.setdefault(line, len(new)))
+                            owner.append(d)
+                            number.append(i)
+                if not at:
                     continue
-                first.append(None if line in new else len(new))
-                u = new.get(line)
-                if u is None:
-                    u = new[line] = line_uid(line)
-                out["row"].append(row)
-                out["doc_id"].append(doc)
-                out["line"].append(i)
-                out["uid"].append(u)
-        found = bands(shingles.char_shingles(list(new), width), count, rows) if new else []
-        out["bands"] = [None if i is None else found[i] for i in first]
-        return out
+                distinct = list(new)
+                places = np.array(at)
+                first = np.zeros(len(at), bool)
+                first[np.unique(places, return_index=True)[1]] = True
+                # New lines get their numbers in order, so the bands lie in the order of the first lines.
+                ends = np.concatenate([[0], first.cumsum() * count]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(distinct, width, count, rows).reshape(-1)), mask=pa.array(~first))
+                uids = np.array([line_uid(x) for x in distinct], np.int64)[places]
+                chars = np.array([len(x) for x in distinct], np.int32)[places]
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(number, pa.int32()), pa.array(uids), pa.array(chars), keys], names=["row", "doc_id", "line", "uid", "chars", "bands"])
 
-    return arrow_map(docs, run, "row long, doc_id long, line int, uid long, bands array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, uid long, chars int, bands array<long>")
 
 
 def removals(
-    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 10, rows: int = 4, least_chars: int = 10,
+    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 12, rows: int = 5, least_chars: int = 10,
 ) -> DataFrame:
     """``row, removed``: the numbers of the lines to take out of each document of ``docs`` (row, doc_id, text) that loses any.
 
@@ -74,24 +81,26 @@ def removals(
     keys = found.where("bands is not null").select(F.explode("bands").alias("key"), "uid")
     members = materialize(similarity.stars(keys))
     wanted = members.select("uid").distinct()
-    owners = found.select("uid", "row", "line").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min(F.struct("row", "line")).alias("at"))
-    owners = materialize(owners.groupBy(F.col("at.row").alias("row")).agg(F.collect_set("at.line").alias("lines")))
+    owners = materialize(found.select("uid", "row", "line", "chars").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.first("row").alias("row"), F.first("line").alias("line"), F.first("chars").alias("n")))
+    asked = materialize(owners.groupBy("row").agg(F.collect_list(F.struct("line", "uid")).alias("lines")))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        lines = [normal(ls[i]) for t, at in zip(cols["text"], cols["lines"], strict=True) for ls in [t.split("\n")] for i in at]
-        sets = shingles.char_shingles(lines, width)
-        return {"uid": [line_uid(x) for x in lines], "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets]}
+        out = {"uid": [], "text": []}
+        for text, asked in zip(cols["text"], cols["lines"], strict=True):
+            own = text.split("\n")
+            out["uid"] += [x["uid"] for x in asked]
+            out["text"] += [normal(own[x["line"]]) for x in asked]
+        return out
 
-    texts = docs.select("row", "text").join(F.broadcast(owners) if owners.count() <= similarity.FEW else owners, "row")
-    sets = materialize(arrow_map(texts.select("text", "lines"), run, "uid long, n long, elements binary").dropDuplicates(["uid"]))
-    roots = similarity.components(similarity.confirm(members, sets, similarity_at_least))
+    texts = arrow_map(similarity.with_few(docs.select("row", "text"), asked, "row").select("text", "lines"), run, "uid long, text string")
+    roots = similarity.components(similarity.confirm(members, owners.select("uid", "n"), texts, lambda t: shingles.char_shingles(t, width), similarity_at_least))
     named = found.groupBy("uid").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line", "row")).alias("first")).join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     named = materialize(named)
     stay = named.groupBy("root").agg(F.sum("c").alias("c"), F.min("first").alias("first")).where("c > 1")
     stay = materialize(named.select("uid", "root").join(stay, "root").select("uid", F.col("first.row").alias("own_row"), F.col("first.line").alias("own_line")))
     out = found.select("row", "line", "uid").join(stay, "uid").where("row <> own_row or line <> own_line").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     out = materialize(out)
-    discard(found, members, owners, sets, named, stay, roots)
+    discard(found, members, owners, asked, named, stay, roots)
     return out
 
 
@@ -103,7 +112,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     mine = mine.select("doc_id", "text", row_key())
     text = F.coalesce("text", F.lit(""))
-    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = mine.select("row", "doc_id", n.alias("n_lines")).join(removals(mine, **how), "row", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"))

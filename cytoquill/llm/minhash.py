@@ -76,17 +76,10 @@ def _named(docs: DataFrame, width: int, similarity_at_least: Fraction, k: int, m
     keys = materialize(prefix_keys(items, k, least))
     members = materialize(similarity.stars(keys))
     wanted = members.select("uid").distinct()
-    owners = rows.select("uid", "row").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("row").alias("row"))
-    owners = materialize(owners.select("row").distinct())
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        sets = shingles.word_shingles(cols["text"], width)
-        return {"uid": [uid(s) for s in sets], "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets]}
-
-    texts = similarity.few_of(docs.select(row_key(), "text"), owners, "row")
-    sets = materialize(arrow_map(texts.select("text"), run, "uid long, n long, elements binary").dropDuplicates(["uid"]))
-    roots = similarity.components(similarity.confirm(members, sets, similarity_at_least))
-    discard(keys, members, owners, sets)
+    owners = materialize(rows.select("uid", "row", "n").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("row").alias("row"), F.max("n").alias("n")))
+    texts = similarity.with_few(docs.select(row_key(), "text"), owners.select("row", "uid"), "row").select("uid", "text")
+    roots = similarity.components(similarity.confirm(members, owners.select("uid", "n"), texts, lambda t: shingles.word_shingles(t, width), similarity_at_least))
+    discard(keys, members, owners)
     return rows.select("row", "doc_id", "n", "uid").join(roots, "uid", "left").select("row", "doc_id", "n", F.coalesce("root", "uid").alias("root"))
 
 

@@ -116,6 +116,47 @@ def signatures(sets: Sequence[np.ndarray], k: int, block: int = 16_384) -> np.nd
     return out
 
 
+def binned_signatures(texts: Sequence[str], width: int, bins: int) -> np.ndarray:
+    """A row of ``bins`` coordinates for each text: of its runs of ``width`` characters, each falls into one bin by hash, where the smallest counts.
+
+    An empty bin takes the coordinate of the next one that isn't, round the end, with its
+    distance mixed in. So each character costs one hash, whatever the number of bins, and two
+    texts' coordinates are equal with the chance of their sets' similarity. A text that is shorter
+    than ``width`` has one run, all of it.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full((len(texts) + 1, bins), 0xFFFFFFFF, np.uint32)
+    n = len(codes) - width + 1
+    odd = _ODD.astype(np.uint32)
+    if n > 0:
+        s = codes[:n] * odd[0]
+        for k in range(1, width):
+            s += codes[k : k + n] * odd[k]
+        s = _mixed32(s)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        cell = np.where(owner[:n] == owner[width - 1 :], owner[:n], len(texts)) * bins
+        cell += ((s.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out.reshape(-1), cell, s)
+    out = out[:-1]
+    for i in np.flatnonzero(sizes < width):
+        c = np.array([ord(x) for x in texts[i]], np.uint32)
+        out[i, 0] = _mixed32((c * odd[: len(c)]).sum(dtype=np.uint32, keepdims=True))[0]
+    # From the right, twice round: the place of the nearest coordinate at or after each bin.
+    at = np.where(out != 0xFFFFFFFF, np.arange(bins, dtype=np.int32), 4 * bins)
+    at = np.minimum.accumulate(np.concatenate([at, at + bins], 1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    far = at - np.arange(bins, dtype=np.int32)
+    return np.take_along_axis(out, at % bins, 1) + far.astype(np.uint32) * np.uint32(0x9E3779B1)
+
+
+def _mixed32(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint32(15))
+    x *= np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(12)
+    x *= np.uint32(0x297A2D39)
+    return x ^ (x >> np.uint32(15))
+
+
 def match_threshold(k: int, similarity: float, miss: float = 1e-6) -> int:
     """The largest number of equal coordinates, of k, that a pair of at least this similarity falls short of with a chance of ``miss`` at most."""
     below = 0.0

@@ -9,7 +9,7 @@ as keys. A large star is dealt out in blocks, of which each two meet in one task
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -17,68 +17,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoquill.llm.common import discard, materialize
+from cytoquill.llm.common import discard, materialize, pieces
 
-#: Elements of all sets of a block, about: 8 MB.
+#: Size of all sets of a block, about.
 BLOCK = 1 << 20
-#: Ids that are broadcast at most; beyond that Spark joins by shuffle.
+#: Rows that are broadcast at most; beyond that Spark joins by shuffle.
 FEW = 1 << 19
 
 
 def stars(keys: DataFrame) -> DataFrame:
     """``leader, uid`` of ``keys`` (key, uid, and weight if wanted): a key's leader is its item of the greatest weight, then the smallest uid.
 
-    Each leader stands in its own star; keys of one item, however often it comes, have none.
+    Each leader stands in its own star; keys of one item, however often it comes, have none. Rows
+    are sorted by key, leader first, and streamed: a task holds one leader, however many rows a key has.
     """
-    best = F.min(F.struct((-F.col("weight")).alias("w"), "uid")).getField("uid") if "weight" in keys.columns else F.min("uid")
-    lead = keys.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), best.alias("leader")).where("low <> high").select("key", "leader")
-    return keys.join(lead, "key").select("leader", "uid").distinct()
+    order = ["key", F.desc("weight"), "uid"] if "weight" in keys.columns else ["key", "uid"]
+    dealt = keys.repartition("key").sortWithinPartitions(*order).select("key", "uid")
 
-
-def few_of(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose ``column`` is among ``ids`` (one column of that name, distinct and materialized); ids go by broadcast only if they are few."""
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, column, "left_semi")
-
-
-def confirm(members: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, lead, shown = None, 0, False  # of the run of rows that may go on, and whether its leader was written
+        for batch in batches:
+            key, uid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if not len(key):
+                continue
+            new = np.empty(len(key), bool)
+            new[0] = last_key is None or key[0] != last_key
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            run_of = new.cumsum()  # 0: the run of the batch before
+            leaders = np.concatenate([[lead], uid[new]])
+            at = leaders[run_of]
+            other = uid != at
+            runs = np.unique(run_of[other])
+            if shown:
+                runs_new = runs[runs > 0]
+            else:
+                runs_new = runs
+            if len(runs):
+                a = np.concatenate([at[other], leaders[runs_new]])
+                b = np.concatenate([uid[other], leaders[runs_new]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["leader", "uid"])
+            end = int(run_of[-1])
+            shown = bool(len(runs) and runs[-1] == end) or (end == 0 and shown)
+            last_key, lead = key[-1], leaders[end]
+
+    return dealt.mapInArrow(run, "leader long, uid long").distinct()
+
+
+def with_few(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """``rows`` joined with ``few`` (materialized) by a column of both; ``few`` goes by broadcast only if it is small."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW else few, column)
+
+
+def confirm(members: DataFrame, sizes: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], similarity: Fraction) -> DataFrame:
     """``a, b``: edges that join all items of a star between which links of at least ``similarity`` lead.
 
-    ``members``: leader, uid, distinct; ``sets``: uid, n, elements (sorted unsigned 64-bit integers as
-    binary), one row for each uid. Of the links within what is already joined, some are left out.
+    ``members``: leader, uid, distinct; ``sizes``: uid, n; ``texts``: uid, text, from which
+    ``sets_of`` makes the sets in the task: texts are smaller than sets. An item may come more than once.
+    Of the links within what is already joined, some are left out.
     """
-    members = members.join(sets, "uid")
-    weights = members.groupBy("leader").agg(F.sum("n").alias("total")).select("leader", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    weights = members.join(sizes, "uid").groupBy("leader").agg(F.sum("n").alias("total")).select("leader", F.greatest(F.ceil(F.col("total") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     dealt = members.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("leader", "uid", "elements", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid", "elements")
+    dealt = dealt.select("leader", "uid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid").join(texts, "uid")
+    dealt = dealt.select("leader", "low", "high", "own", "uid", "text")
     up, down = similarity.numerator, similarity.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, uids, owns, held = None, [], [], []
+        out: tuple[list[int], list[int]] = ([], [])
 
-        def flush() -> pa.RecordBatch:
-            a, b = links(np.array(uids, np.int64), np.array(owns), [np.frombuffer(x, "<u8") for x in held], key[0], up, down)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def flush() -> None:
+            if len(uids) > 1:
+                a, b = links(uids, owns, held, key[0], up, down)
+                out[0].extend(a)
+                out[1].extend(b)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)] + [batch.column(5)]
-            for i, k in enumerate(zip(*cols[:3], strict=True)):
-                if k != key:
-                    if len(uids) > 1:
-                        yield flush()
-                    key, uids, owns, held = k, [], [], []
-                uids.append(cols[4][i])
-                owns.append(cols[3][i])
-                held.append(cols[5][i].as_py())
-        if len(uids) > 1:
-            yield flush()
+            for part in pieces(batch):
+                keys = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
+                sets = sets_of(part.column(5).to_pylist())
+                for k, own, uid, s in zip(keys, part.column(3).to_pylist(), part.column(4).to_pylist(), sets, strict=True):
+                    if k != key:
+                        flush()
+                        key, uids, owns, held = k, [], [], []
+                    uids.append(uid)
+                    owns.append(own)
+                    held.append(s)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+                    out[0].clear()
+                    out[1].clear()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     sorted_rows = dealt.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high")
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def links(uids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:
+def links(uids: list[int], blocks: list[int], sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:
     """Edges that span the linked items: |x & y| * down >= |x | y| * up. Of two blocks only pairs across them count."""
+    return (_few_links if len(uids) <= 12 else _many_links)(uids, blocks, sets, leader, up, down)
+
+
+def _few_links(uids: list[int], blocks: list[int], sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:
+    order = sorted(range(len(uids)), key=lambda i: (uids[i] != leader, len(sets[i])))
+    across = min(blocks) != max(blocks)
+    part = list(range(len(uids)))
+    a, b = [], []
+    for p, i in enumerate(order):
+        x = sets[i]
+        for j in order[p + 1 :]:
+            y = sets[j]
+            n, m = len(x), len(y)
+            if part[i] == part[j] or (across and blocks[i] == blocks[j]) or min(n, m) * down < max(n, m) * up:
+                continue
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")  # merges the two runs
+            c = int(np.count_nonzero(both[1:] == both[:-1]))
+            if c * down >= (n + m - c) * up:
+                a.append(uids[i])
+                b.append(uids[j])
+                old = part[j]
+                part = [part[i] if q == old else q for q in part]
+    return a, b
+
+
+def _many_links(uid_list: list[int], block_list: list[int], sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:
+    uids, blocks = np.array(uid_list, np.int64), np.array(block_list)
     n = len(uids)
     sizes = np.array([len(s) for s in sets])
     cuts = sizes.cumsum() - sizes
