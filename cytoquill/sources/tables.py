@@ -67,7 +67,7 @@ def resolve_libraries(spec: str | Sequence[str] | None, available: Iterable[str]
     have = sorted(available)
     out: list[str] = []
     for s in ["all"] if spec is None else [spec] if isinstance(spec, str) else spec:
-        found = have if s in ("all", "*") else [s] if s in have else [x for x in have if x.startswith(s.removesuffix(".all") + ".") or x == s]
+        found = have if s in ("all", "*") else [s] if s in have else [x for x in have if x.startswith(s.removesuffix(".all") + ".") or x == s.removesuffix(".all")]
         if not found:
             raise FileNotFoundError(f"no gene-set library fits {s!r}; there are {', '.join(have)}")
         out += [x for x in found if x not in out]
