@@ -39,6 +39,19 @@ def size_factors(counts: DataFrame, samples: DataFrame, how: str = "ratio", cont
     return out.join(center, how="cross").select("pb_id", F.exp(F.col("l") - F.col("a")).alias("size_factor"))
 
 
+def norm_fit(counts: DataFrame, samples: DataFrame) -> DataFrame:
+    """``gene_id, m``: log means of the genes with counts in every sample, to take ratios of other samples to."""
+    k = F.broadcast(samples.select("pb_id").distinct().agg(F.count("*").alias("k")))  # one row
+    means = counts.where("n > 0").groupBy("gene_id").agg(F.avg(F.log("n")).alias("m"), F.count("*").alias("c"))
+    return means.join(k, how="cross").where("c = k").select("gene_id", "m")
+
+
+def norm_transform(counts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """``pb_id, gene_id, n, size_factor, q`` of any samples, by the log means of ``norm_fit``."""
+    c = counts.where("n > 0").join(fitted, "gene_id").groupBy("pb_id").agg(F.exp(F.median(F.log("n") - F.col("m"))).alias("size_factor"))
+    return counts.join(c, "pb_id").select("pb_id", "gene_id", "n", "size_factor", (F.col("n") / F.col("size_factor")).alias("q"))
+
+
 def has_common_genes(counts: DataFrame, samples: DataFrame) -> bool:
     """Some gene has counts in every sample, so that ratios can be taken."""
     k = samples.select("pb_id").distinct().count()

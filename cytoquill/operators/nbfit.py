@@ -184,6 +184,53 @@ def _genewise_mu(y: np.ndarray, x: np.ndarray, size: np.ndarray, high: float) ->
     return np.maximum(kernels.fit_glm(y, x, size, start).mu, kernels.MIN_MU)
 
 
+def iterative_size_factors(counts: DataFrame, design: Design, rounds: int = 10, share: float = 0.95, most: int = 50_000_000) -> DataFrame:
+    """``pb_id, size_factor`` that maximise the likelihood in turn with dispersions, for data in which every gene has a zero.
+
+    Genes of the highest dispersions (above the quantile ``share``) don't count; factors have
+    geometric mean 1. The counts come to the driver: more than ``most`` of them are an error.
+    """
+    n = len(design.samples)
+    arrays = gene_arrays(counts, design)
+    if (genes := arrays.count()) * n > most:
+        raise FitError("too many counts for iterative size factors; use positive counts", {"genes": genes, "samples": n})
+    y, x = _matrix(arrays.toPandas(), n), design.x
+    y = y[y.sum(1) > 0]
+    size = np.ones(n)
+    for _ in range(rounds):
+        alpha, mu = _genewise(y, x, size, float(max(10, n)))
+        use = alpha <= np.quantile(alpha, share)
+        q = mu[use] / size
+        a, b = np.log(size) - 1.5, np.log(size) + 1.5
+        g = (5**0.5 - 1) / 2
+
+        def gain(t: np.ndarray, q: np.ndarray = q, use: np.ndarray = use, alpha: np.ndarray = alpha) -> np.ndarray:
+            m, inv = q * np.exp(t), 1 / alpha[use][:, None]
+            return (y[use] * np.log(np.maximum(m, 1e-300)) - (y[use] + inv) * np.log1p(m / inv)).sum(0)
+
+        for _ in range(50):  # all samples at once, each within its own bracket
+            c, d = b - g * (b - a), a + g * (b - a)
+            left = gain(c) > gain(d)
+            a, b = np.where(left, a, c), np.where(left, d, b)
+        t = (a + b) / 2
+        new = np.exp(t - t.mean())
+        if np.abs(np.log(new / size)).max() < 1e-4:
+            size = new
+            break
+        size = new
+    return counts.sparkSession.createDataFrame(list(zip(design.samples, size.tolist(), strict=True)), "pb_id string, size_factor double")
+
+
+def vst(counts: DataFrame, samples: DataFrame, formula: str = "~ 1", trend: str = "parametric") -> tuple[DataFrame, Mapping[str, float]]:
+    """``gene_id, pb_id, value`` of variance-stabilised counts, and the trend of dispersions that they were stabilised with."""
+    design = build_design(samples, formula)
+    fitted = fit(counts, design, trend=trend, refit=False)
+    factors = counts.sparkSession.createDataFrame(list(zip(design.samples, fitted.size.tolist(), strict=True)), "pb_id string, size_factor double")
+    q = nb.normed(nb.grid(counts, samples), factors)
+    t = fitted.trend
+    return (nb.vst(q, 0.0, 0.0, t["mean"]) if "mean" in t else nb.vst(q, t["a1"], t["a0"])), t
+
+
 RESULT_SCHEMA = "gene_id string, contrast string, baseMean double, log2FoldChange double, lfcSE double, stat double, pvalue double, cooks_outlier boolean"
 
 
