@@ -189,9 +189,18 @@ class WordBpe:
             if shown:
                 self.shown[w] = " ".join(map(text, ids)).encode()
 
+    def release(self) -> None:
+        """Give the caches' memory back, at the end of a task: an idle worker holds the vocabulary only."""
+        self._clear()
+        self.apart.clear()
+
     def learn_by_library(self, new: Iterable[str]) -> None:
-        """Fill ``ids`` for distinct words as the library encodes them, all in one call: each word's last token ends it."""
+        """Fill ``ids`` for distinct words as the library encodes them, many in one call: each word's last token ends it."""
         new = list(new)
+        for i in range(0, len(new), 8192):
+            self._learn_some(new[i : i + 8192])
+
+    def _learn_some(self, new: list[str]) -> None:
         got = self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
         ends = [i + 1 for i, t in enumerate(got) if t in self.ends]
         if len(ends) != len(new):

@@ -29,7 +29,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             "decoded": [b" ".join(map(b.shown.__getitem__, ws)).decode() for ws in split],
         }
 
-    return arrow_map(_two(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string")
+    return arrow_map(_two(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string", lambda: bpe.load(vocabulary).release(), 4 << 20)
 
 
 def codec_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,7 +48,7 @@ def codec_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             out["decoded_sha256"].append(hashlib.sha256(b" ".join(map(b.shown.__getitem__, ws))).hexdigest())
         return out
 
-    return arrow_map(_two(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(_two(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: bpe.load(vocabulary).release(), 4 << 20)
 
 
 def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

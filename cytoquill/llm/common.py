@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,8 +17,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Run ``fn`` over Arrow batches as dicts of Python lists; ``fn`` returns columns of ``schema``.
+#: Bytes of an Arrow batch: Spark's 64 MB would stand in the executor and in the worker several times over.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with small batches; the session's limit is lowered if it is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "64m").lower().removesuffix("b").replace("m", "000000").replace("k", "000").replace("g", "000000000")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on, idle, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU allocator keeps so much and can be told
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, at_end: Callable[[], None] | None = None, most: int = 1 << 20) -> DataFrame:
+    """Run ``fn`` over Arrow batches as dicts of Python lists; ``fn`` returns columns of ``schema``; ``at_end`` runs after the last.
 
     Long batches are cut by bytes as well as by rows, so that a batch of very long texts
     never stands in memory as Python objects at once.
@@ -25,14 +51,16 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most):
                 cols = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+        if at_end is not None:
+            at_end()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes each, one row at least."""
     if not batch.num_rows:
         return

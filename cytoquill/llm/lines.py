@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoquill.llm import shingles, similarity
-from cytoquill.llm.common import arrow_map, discard, materialize, pieces
+from cytoquill.llm.common import arrow_map, discard, map_batches, materialize, pieces
 from cytoquill.llm.minhash import row_key
 
 
@@ -25,15 +25,23 @@ def line_uid(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def bands(texts: list[str], width: int, count: int, rows: int) -> np.ndarray:
-    """``count`` keys of each text, each of ``rows`` coordinates of its signature."""
-    s = shingles.binned_signatures(texts, width, count * rows).astype(np.uint64).reshape(len(texts), count, rows)
+def bands(texts: list[str], width: int, count: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of texts, each of ``rows`` coordinates: the numbers of texts, rising, and a row of ``count`` keys for each; some have two rows."""
+    long, binned, short, hashed = shingles.line_signatures(texts, width, count * rows)
     odd = np.random.default_rng(5).integers(1, 1 << 63, (count, rows), dtype=np.uint64) | np.uint64(1)
-    return shingles._mixed((s * odd).sum(2, dtype=np.uint64) + np.arange(count, dtype=np.uint64)).view(np.int64)
+    number = np.concatenate([long, short])
+    s = np.concatenate([binned, hashed]).astype(np.uint64).reshape(len(number), count, rows)
+    keys = (s * odd).sum(2, dtype=np.uint64) + np.arange(count, dtype=np.uint64)
+    keys[len(long) :] += np.uint64(count)  # the two kinds never meet
+    order = np.argsort(number, kind="stable")
+    return number[order], shingles._mixed(keys[order]).view(np.int64)
 
 
 def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows: int) -> DataFrame:
-    """``row, doc_id, line, uid, chars, bands`` of each line of ``least_chars`` characters or more; within a batch, a line that comes again has no bands."""
+    """``row, doc_id, line, uid, chars, bands`` of each line of ``least_chars`` characters or more; within a batch, a line that comes again has no bands.
+
+    Besides, a row for each document, with the number of its lines as ``chars`` and no line and uid.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,13 +50,18 @@ def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows:
                 at: list[int] = []  # of each line, among the new ones
                 owner: list[int] = []
                 number: list[int] = []
+                sizes: list[int] = []
                 for d, text in enumerate(part.column(2).to_pylist()):
-                    for i, raw in enumerate(text.split("\n") if text else ()):
+                    own = text.split("\n") if text else ()
+                    sizes.append(len(own))
+                    for i, raw in enumerate(own):
                         line = normal(raw)
                         if len(line) >= least_chars:
                             at.append(new.setdefault(line, len(new)))
                             owner.append(d)
                             number.append(i)
+                none = pa.nulls(part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.list_(pa.int64()))], names=["row", "doc_id", "line", "uid", "chars", "bands"])
                 if not at:
                     continue
                 distinct = list(new)
@@ -56,20 +69,21 @@ def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows:
                 first = np.zeros(len(at), bool)
                 first[np.unique(places, return_index=True)[1]] = True
                 # New lines get their numbers in order, so the bands lie in the order of the first lines.
-                ends = np.concatenate([[0], first.cumsum() * count]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(distinct, width, count, rows).reshape(-1)), mask=pa.array(~first))
+                whose, found = bands(distinct, width, count, rows)
+                ends = np.concatenate([[0], (np.where(first, np.bincount(whose, minlength=len(distinct))[places], 0) * count).cumsum()]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)), mask=pa.array(~first))
                 uids = np.array([line_uid(x) for x in distinct], np.int64)[places]
                 chars = np.array([len(x) for x in distinct], np.int32)[places]
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(number, pa.int32()), pa.array(uids), pa.array(chars), keys], names=["row", "doc_id", "line", "uid", "chars", "bands"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, uid long, chars int, bands array<long>")
+    return map_batches(docs.select("row", "doc_id", "text"), run, "row long, doc_id long, line int, uid long, chars int, bands array<long>")
 
 
-def removals(
-    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 12, rows: int = 5, least_chars: int = 10,
-) -> DataFrame:
-    """``row, removed``: the numbers of the lines to take out of each document of ``docs`` (row, doc_id, text) that loses any.
+def find_removals(
+    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 10, rows: int = 5, least_chars: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """``row, removed``: the numbers of the lines to take out of each document of ``docs`` (row, doc_id, text) that loses any; and the table of ``split_lines``.
 
     Lines are linked if their sets of ``width``-character shingles have this Jaccard similarity or
     more, after ``normal``; of each component the line of the smallest doc_id, then number, stays.
@@ -77,11 +91,11 @@ def removals(
     1 - (1 - s ** rows) ** count, and is then confirmed exactly. Lines under ``least_chars``
     characters, blank ones too, stay.
     """
-    found = materialize(split_lines(docs.select("row", "doc_id", "text"), least_chars, width, count, rows))
-    keys = found.where("bands is not null").select(F.explode("bands").alias("key"), "uid")
-    members = materialize(similarity.stars(keys))
-    wanted = members.select("uid").distinct()
-    owners = materialize(found.select("uid", "row", "line", "chars").join(wanted, "uid", "left_semi").groupBy("uid").agg(F.first("row").alias("row"), F.first("line").alias("line"), F.first("chars").alias("n")))
+    found = materialize(split_lines(docs, least_chars, width, count, rows))
+    members = materialize(similarity.stars(found.where("bands is not null").select(F.explode("bands").alias("key"), "uid")))
+    own = found.where("uid is not null").select("row", "doc_id", "line", "uid", "chars")
+    distinct = materialize(own.groupBy("uid").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("line").alias("line"), F.first("chars").alias("n")))
+    owners = materialize(distinct.join(members.select("uid").distinct(), "uid", "left_semi"))
     asked = materialize(owners.groupBy("row").agg(F.collect_list(F.struct("line", "uid")).alias("lines")))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -94,39 +108,39 @@ def removals(
 
     texts = arrow_map(similarity.with_few(docs.select("row", "text"), asked, "row").select("text", "lines"), run, "uid long, text string")
     roots = similarity.components(similarity.confirm(members, owners.select("uid", "n"), texts, lambda t: shingles.char_shingles(t, width), similarity_at_least))
-    named = found.groupBy("uid").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line", "row")).alias("first")).join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    named = materialize(named)
-    stay = named.groupBy("root").agg(F.sum("c").alias("c"), F.min("first").alias("first")).where("c > 1")
-    stay = materialize(named.select("uid", "root").join(stay, "root").select("uid", F.col("first.row").alias("own_row"), F.col("first.line").alias("own_line")))
-    out = found.select("row", "line", "uid").join(stay, "uid").where("row <> own_row or line <> own_line").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    # What comes once and has no link stays; only the others go on.
+    again = distinct.where("c > 1").select("uid").join(roots, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")).union(roots).distinct()
+    placed = materialize(own.join(again, "uid").select("root", "row", "doc_id", "line"))
+    stay = placed.groupBy("root").agg(F.min(F.struct("doc_id", "line", "row")).alias("first")).select("root", F.col("first.row").alias("own_row"), F.col("first.line").alias("own_line"))
+    out = placed.join(stay, "root").where("row <> own_row or line <> own_line").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     out = materialize(out)
-    discard(found, members, owners, asked, named, stay, roots)
-    return out
+    discard(members, distinct, owners, asked, roots, placed)
+    return out, found
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
-    """``doc_id, n_lines, n_kept, removed`` of each row of ``docs``; see ``removals`` for ``how``.
+    """``doc_id, n_lines, n_kept, removed`` of each row of ``docs``; see ``find_removals`` for ``how``.
 
     Null and empty texts have no lines. Rows that repeat both id and text lose the same lines. Other columns are left out.
     """
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    mine = mine.select("doc_id", "text", row_key())
-    text = F.coalesce("text", F.lit(""))
-    n = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = mine.select("row", "doc_id", n.alias("n_lines")).join(removals(mine, **how), "row", "left")
+    gone, found = find_removals(mine.select("doc_id", "text", row_key()), **how)
+    out = found.where("uid is null").select("row", "doc_id", F.col("chars").cast("long").alias("n_lines")).join(gone, "row", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how: object) -> DataFrame:
-    """The rows of ``docs``, with all columns, without the lines of ``removals``.
+    """The rows of ``docs``, with all columns, without the lines of ``find_removals``.
 
     A row that loses lines and has only blank ones left is dropped: all it said stands elsewhere.
     ``chars_col``, if there is one, gets the new length. Rows without removed lines stay as they are.
     """
     mark, lost = _free(docs, "row"), _free(docs, "removed")
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removals(mine.select("doc_id", "text", row_key())).toDF(mark, lost)
+    gone, found = find_removals(mine.select("doc_id", "text", row_key()), **how)
+    discard(found)
+    gone = gone.toDF(mark, lost)
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias(mark)
     joined = docs.select("*", key).join(gone, mark, "left").select(*[docs[c] for c in docs.columns], lost)
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
@@ -150,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     cols[chars] = pa.array([b if a is None else a for a, b in zip(now, cols[chars].to_pylist(), strict=True)], cols[chars].type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_batches(joined, run, docs.schema)
 
 
 def _free(docs: DataFrame, name: str) -> str:

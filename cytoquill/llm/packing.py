@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoquill.llm import bpe
-from cytoquill.llm.common import arrow_map, materialize, pieces
+from cytoquill.llm.common import arrow_map, map_batches, materialize, pieces
 
 #: More sources than this share queues by hash.
 MOST_QUEUES = 4096
@@ -44,7 +44,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
         end = np.array([end_id], kind).tobytes()
         part, so_far = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, 4 << 20):
                 queues, starts, sizes, ids = piece.column(0).to_pylist(), [], [], []
                 for q, raw in zip(queues, b.encode(piece.column(2).to_pylist()), strict=True):
                     ids.append(np.frombuffer(raw, "<u4").astype(kind).tobytes() + end)
@@ -52,8 +52,9 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_c
                     starts.append(so_far.get(q, 0))
                     so_far[q] = starts[-1] + sizes[-1]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), piece.column(0), piece.column(1), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["part", "queue", "doc_id", "start", "n", "ids"])
+        b.release()
 
-    return rows.mapInArrow(run, "part int, queue string, doc_id long, start long, n long, ids binary")
+    return map_batches(rows, run, "part int, queue string, doc_id long, start long, n long, ids binary")
 
 
 class Schedule(NamedTuple):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoquill.llm.common import arrow_map, pieces
+from cytoquill.llm.common import arrow_map, map_batches, pieces
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "log_longest_word", "log_line_bytes", "upper", "digit", "symbol", "stop", "comma", "bang", "pipe",
@@ -223,4 +223,4 @@ def keep_good(docs: DataFrame, model: Gam, least: float = 0.7, text_col: str = "
                 s = model.scores(text_features(part.column(part.schema.get_field_index(text_col)).to_pylist()))
                 yield part.filter(pa.array(s >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

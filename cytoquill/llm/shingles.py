@@ -116,37 +116,66 @@ def signatures(sets: Sequence[np.ndarray], k: int, block: int = 16_384) -> np.nd
     return out
 
 
-def binned_signatures(texts: Sequence[str], width: int, bins: int) -> np.ndarray:
-    """A row of ``bins`` coordinates for each text: of its runs of ``width`` characters, each falls into one bin by hash, where the smallest counts.
-
-    An empty bin takes the coordinate of the next one that isn't, round the end, with its
-    distance mixed in. So each character costs one hash, whatever the number of bins, and two
-    texts' coordinates are equal with the chance of their sets' similarity. A text that is shorter
-    than ``width`` has one run, all of it.
+def line_signatures(texts: Sequence[str], width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of k coordinates of each text's runs of ``width`` characters: (rows, binned, rows, hashed).
+
+    Long texts are binned: each run falls into one of k bins by hash, where the smallest counts,
+    so a character costs one hash, whatever k is. An empty bin takes the coordinate of the next one
+    that isn't, round the end, with its distance mixed in. Where many bins stay empty, those
+    copies would depend on each other; such short texts are hashed k times instead. The share of
+    filled bins, by which this is decided, follows from the set alone, and texts between 0.78 and
+    0.9 have both kinds of signature: of two similar texts both have one kind in common.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.full((len(texts) + 1, bins), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(texts), k), 0xFFFFFFFF, np.uint32)
     n = len(codes) - width + 1
     odd = _ODD.astype(np.uint32)
+    owner = np.empty(0, np.int64)
+    s = np.empty(0, np.uint32)
     if n > 0:
         s = codes[:n] * odd[0]
-        for k in range(1, width):
-            s += codes[k : k + n] * odd[k]
+        for i in range(1, width):
+            s += codes[i : i + n] * odd[i]
         s = _mixed32(s)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        cell = np.where(owner[:n] == owner[width - 1 :], owner[:n], len(texts)) * bins
-        cell += ((s.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(out.reshape(-1), cell, s)
-    out = out[:-1]
-    for i in np.flatnonzero(sizes < width):
-        c = np.array([ord(x) for x in texts[i]], np.uint32)
-        out[i, 0] = _mixed32((c * odd[: len(c)]).sum(dtype=np.uint32, keepdims=True))[0]
+        inside = owner[:n] == owner[width - 1 :]
+        s, owner = s[inside], owner[:n][inside]
+        np.minimum.at(out.reshape(-1), owner * k + ((s.astype(np.uint64) * np.uint64(k)) >> np.uint64(32)).astype(np.int64), s)
+    if (tiny := np.flatnonzero(sizes < width)).size:  # their one run is all of them
+        s = np.append(s, [_mixed32(np.array([hash_text(texts[i])], np.uint32))[0] for i in tiny])
+        order = np.argsort(np.append(owner, tiny), kind="stable")
+        s, owner = s[order].astype(np.uint32), np.append(owner, tiny)[order]
+    filled = (out != 0xFFFFFFFF).sum(1)
+    long, short = np.flatnonzero(100 * filled >= 78 * k), np.flatnonzero(100 * filled < 90 * k)
+    binned = out[long]
     # From the right, twice round: the place of the nearest coordinate at or after each bin.
-    at = np.where(out != 0xFFFFFFFF, np.arange(bins, dtype=np.int32), 4 * bins)
-    at = np.minimum.accumulate(np.concatenate([at, at + bins], 1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    far = at - np.arange(bins, dtype=np.int32)
-    return np.take_along_axis(out, at % bins, 1) + far.astype(np.uint32) * np.uint32(0x9E3779B1)
+    at = np.where(binned != 0xFFFFFFFF, np.arange(k, dtype=np.int32), 4 * k)
+    at = np.minimum.accumulate(np.concatenate([at, at + k], 1)[:, ::-1], axis=1)[:, ::-1][:, :k]
+    far = (at - np.arange(k, dtype=np.int32)).astype(np.uint32)
+    binned = np.take_along_axis(binned, at % k, 1) + far * np.uint32(0x9E3779B1)
+    hashed = np.zeros((len(short), k), np.uint32)
+    if len(short):
+        place = np.full(len(texts), -1)
+        place[short] = np.arange(len(short))
+        mine = place[owner] >= 0
+        x, who = s[mine], place[owner[mine]]
+        a, b = _lines(k)
+        count = np.bincount(who, minlength=len(short))
+        ends = count.cumsum()
+        low = 0
+        while low < len(short):  # blocks that stay in the cache
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 8192)))
+            begin = int(ends[low - 1]) if low else 0
+            part = x[begin : int(ends[high - 1])]
+            for c in range(0, k, 16):
+                hashed[low:high, c : c + 16] = np.minimum.reduceat((part[:, None] ^ b[None, c : c + 16]) * a[None, c : c + 16], ends[low:high] - count[low:high] - begin, axis=0)
+            low = high
+    return long, binned, short, hashed
+
+
+def hash_text(text: str) -> int:
+    return int((np.array([ord(c) for c in text], np.uint64) * _ODD[: len(text)]).sum(dtype=np.uint64)) & 0xFFFFFFFF
 
 
 def _mixed32(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoquill.llm.common import discard, materialize, pieces
+from cytoquill.llm.common import discard, map_batches, materialize, pieces
 
 #: Size of all sets of a block, about.
 BLOCK = 1 << 20
@@ -60,7 +60,7 @@ def stars(keys: DataFrame) -> DataFrame:
             shown = bool(len(runs) and runs[-1] == end) or (end == 0 and shown)
             last_key, lead = key[-1], leaders[end]
 
-    return dealt.mapInArrow(run, "leader long, uid long").distinct()
+    return map_batches(dealt, run, "leader long, uid long").distinct()
 
 
 def with_few(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
@@ -111,7 +111,7 @@ def confirm(members: DataFrame, sizes: DataFrame, texts: DataFrame, sets_of: Cal
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     sorted_rows = dealt.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high")
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return map_batches(sorted_rows, run, "a long, b long")
 
 
 def links(uids: list[int], blocks: list[int], sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:

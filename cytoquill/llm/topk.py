@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoquill.llm.common import map_batches
+
 #: Points of a leaf, at most (more if they all coincide).
 LEAF = 128
 
@@ -119,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096
         sent = spark.sparkContext.broadcast((ids, points))
         floors = None
         for probe in (True, False):
-            shards = vectors.mapInArrow(_searcher(sent, k, floors, probe), "query_id long, vec_id long, score long")
+            shards = map_batches(vectors, _searcher(sent, k, floors, probe), "query_id long, vec_id long, score long")
             order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
             ranked = shards.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             if probe:
