@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, which cuts its lineage; a folder of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="cytoquill-"))
+    return df.checkpoint()
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """Long counts from Parquet; columns are matched by name, a missing one is an error."""
     return spark.read.schema(COUNTS).parquet(path)

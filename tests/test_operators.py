@@ -270,3 +270,47 @@ def test_checks(spark):
 def test_reverse_contrast(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "contrast string, stat double")
     assert [tuple(r) for r in feeds.reverse_contrast(df, "a", "z", ["stat"]).collect()] == [("z", -1.0)]
+
+
+def test_label_propagation(spark):
+    labels = {r["id"]: r["label"] for r in community.propagate(two_triangles(spark), 5).collect()}
+    assert labels[0] == labels[1] == labels[2] and labels[3] == labels[4] == labels[5]
+
+
+def test_tables_round_trip(spark, tmp_path):
+    c = long(spark, [[1, 2], [0, 3]])
+    tables.write_counts(c, str(tmp_path / "c"))
+    assert sorted(tables.read_counts(spark, str(tmp_path / "c")).collect()) == sorted(c.collect())
+    tables.write_tsv_gz(c, str(tmp_path / "t"))
+    assert sorted(tables.read_tsv(spark, str(tmp_path / "t"), "cell_id string, gene_id string, n long").collect()) == sorted(c.collect())
+    assert tables.write_json({"b": 1, "a": [2]}, str(tmp_path / "j"), spark) == '{"a":[2],"b":1}'
+
+
+def test_streams_give_what_batches_give(spark, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from cytoquill.streaming import qc_stream
+
+    rows = [(datetime(2024, 1, 1, i % 5, i % 60), "ab"[i % 2], float(i)) for i in range(200)]
+    schema = "ts timestamp, event_type string, value double"
+    df = spark.createDataFrame(rows, schema)
+    for i in range(3):
+        df.where(F.col("value") % 3 == i).coalesce(1).write.parquet(str(tmp_path / f"in/e{i}.parquet"))
+    stream = qc_stream.read_stream(spark, str(tmp_path / "in"), "*.parquet", schema, 1)
+    totals = qc_stream.drain(qc_stream.running_totals(stream.select(F.col("event_type").alias("cell_id"), F.lit(1).alias("n"))), str(tmp_path / "out"), "complete")
+    assert {tuple(r) for r in totals.collect()} == {("a", 100), ("b", 100)}
+    windows = qc_stream.drain(qc_stream.windowed_counts(stream, "1 hour", "10 hours"), str(tmp_path / "out"), "append")
+    assert windows.count() <= 10
+
+
+def test_workflow_ends_early(spark):
+    from cytoquill.plans import workflows
+
+    rng = np.random.default_rng(0)
+    c = long(spark, rng.poisson(1, (50, 20)))
+    cells = spark.createDataFrame([(f"c{i}", i) for i in range(50)], "cell_id string, id long")
+    assert workflows.consensus_pipeline(c, cells, stop_after="normalize").status == "stopped"
+    assert workflows.consensus_pipeline(c, cells, feature_alpha=1e-9).status == "no_features_selected"
+    assert workflows.consensus_pipeline(c, cells, select_features=False, components=5).status in ("no_reproducible_pcs", "complete")
