@@ -81,7 +81,7 @@ def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows:
 
 
 def find_removals(
-    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 10, rows: int = 5, least_chars: int = 10,
+    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 12, rows: int = 6, least_chars: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """``row, removed``: the numbers of the lines to take out of each document of ``docs`` (row, doc_id, text) that loses any; and the table of ``split_lines``.
 
