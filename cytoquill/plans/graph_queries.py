@@ -56,9 +56,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name, _dist in (("cosine", _COS), ("l2", _L2), ("ip", _IP)):
 
-    @query(f"knn_{_name}", more("vectors", _knn("n", "vectors", _dist, 10), "SELECT src, rank, dst, round(dist, 6) AS dist FROM n"))
+    @query(f"knn_{_name}", more("vectors", _knn("n", "vectors", _dist, 10), "SELECT src, rank, dst, dist FROM n"))
     def knn_query(spark: SparkSession, sf_dir: str, metric: str = _name) -> DataFrame:
-        return _round(knn.knn(domain.vectors(spark, sf_dir), 10, metric), "dist")
+        return knn.knn(domain.vectors(spark, sf_dir), 10, metric)
 
 
 @query("knn_gap_mask", more("vectors", *_GRAPH[:2], "SELECT src, rank, dst, keep FROM g"))
@@ -66,9 +66,9 @@ def knn_gap_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.gap_mask(knn.knn(domain.vectors(spark, sf_dir), K)).drop("dist")
 
 
-@query("knn_weights", more("vectors", *_GRAPH[:3], "SELECT src, rank, dst, round(dist, 6) AS dist, round(weight, 6) AS weight FROM w"))
+@query("knn_weights", more("vectors", *_GRAPH[:3], "SELECT src, rank, dst, dist, round(weight, 6) AS weight FROM w"))
 def knn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(knn.weigh(knn.gap_mask(knn.knn(domain.vectors(spark, sf_dir), K)).where("keep")), "dist", "weight")
+    return _round(knn.weigh(knn.gap_mask(knn.knn(domain.vectors(spark, sf_dir), K)).where("keep")), "weight")
 
 
 @query("graph_single", more("vectors", *_GRAPH, "SELECT src, dst, round(weight, 6) AS weight FROM e"))
@@ -121,9 +121,9 @@ def consensus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(consensus.consensus_graph(domain.vectors(spark, sf_dir, 1, 32), domain.vectors(spark, sf_dir, 33, 32), K), "weight")
 
 
-@query("consensus_distances", more("train val", *_MERGE, "SELECT src, rank, dst, round(dist, 6) AS dist FROM mw"))
+@query("consensus_distances", more("train val", *_MERGE, "SELECT src, rank, dst, round(dist, 12) AS dist FROM mw"))
 def consensus_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(consensus.merge(*_split_masks(spark, sf_dir)), "dist").drop("weight")
+    return consensus.merge(*_split_masks(spark, sf_dir)).withColumn("dist", F.round("dist", 12)).drop("weight")
 
 
 @query("consensus_overlap_stats", more("train val", *_MERGE[:5], "SELECT src, count(*) FILTER (dt IS NOT NULL AND dv IS NOT NULL) AS n_both, count(*) FILTER (dv IS NULL) AS n_train, count(*) FILTER (dt IS NULL) AS n_val FROM o GROUP BY src"))

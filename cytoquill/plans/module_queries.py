@@ -92,19 +92,19 @@ def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-@query("gene_rank_corr", _ctes(_RHO, "SELECT sample, split, gene_a, gene_b, round(rho, 6) AS rho FROM rho"))
+@query("gene_rank_corr", _ctes(_RHO, "SELECT sample, split, gene_a, gene_b, rho FROM rho"))
 def gene_rank_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_rho(spark, sf_dir), "rho")
+    return _rho(spark, sf_dir)
 
 
-@query("gene_edges_threshold", _ctes(_EDGES, "SELECT sample, split, gene_a, gene_b, round(rho, 6) AS rho, sign FROM ed"))
+@query("gene_edges_threshold", _ctes(_EDGES, "SELECT sample, split, gene_a, gene_b, rho, sign FROM ed"))
 def gene_edges_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_edges(spark, sf_dir), "rho")
+    return _edges(spark, sf_dir)
 
 
-@query("gene_edges_union", _ctes(_UNION, "SELECT * REPLACE (round(rho_train, 6) AS rho_train, round(rho_val, 6) AS rho_val, round(rho_mean, 6) AS rho_mean) FROM un"))
+@query("gene_edges_union", _ctes(_UNION, "SELECT * REPLACE (round(rho_mean, 12) AS rho_mean) FROM un"))
 def gene_edges_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(modules.union_splits(_edges(spark, sf_dir)), "rho_train", "rho_val", "rho_mean")
+    return _round(modules.union_splits(_edges(spark, sf_dir)), "rho_mean", digits=12)
 
 
 @query("gene_edge_weights", _ctes(_WEIGHTS, "SELECT sample, gene_a, gene_b, sign, confidence, w_train, w_val, round(w_mean, 10) AS w_mean FROM we"))
@@ -122,9 +122,9 @@ def module_degree_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(modules.degree_strength(_top(spark, sf_dir), _labels(spark, sf_dir)), "strength_pos", digits=10)
 
 
-@query("module_antagonism", _ctes(_ANT, "SELECT * REPLACE (round(mean_rho, 6) AS mean_rho, round(edge_density, 6) AS edge_density) FROM atg"))
+@query("module_antagonism", _ctes(_ANT, "SELECT * REPLACE (round(mean_rho, 14) AS mean_rho, round(edge_density, 14) AS edge_density) FROM atg"))
 def module_antagonism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(modules.antagonism(_weighted(spark, sf_dir).where("sign = 'neg'"), _labels(spark, sf_dir)), "mean_rho", "edge_density")
+    return _round(modules.antagonism(_weighted(spark, sf_dir).where("sign = 'neg'"), _labels(spark, sf_dir)), "mean_rho", "edge_density", digits=14)
 
 
 @query("module_intra_stats", _ctes([*_TOP, _LAB, "sz AS (SELECT sample, module_id, count(*) AS size FROM lb GROUP BY ALL)", "ie AS (SELECT tp.sample, a.module_id, w_mean FROM tp JOIN lb a ON tp.sample = a.sample AND gene_a = a.gene_id JOIN lb b ON tp.sample = b.sample AND gene_b = b.gene_id WHERE a.module_id = b.module_id)"],
@@ -151,11 +151,11 @@ def replicated_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.support(_labels(spark, sf_dir), _replicated(spark, sf_dir))
 
 
-@query("replicated_antagonism", _ctes([*_ANT, _REP], """SELECT least(x.replicated_module_id, y.replicated_module_id) AS replicated_a, greatest(x.replicated_module_id, y.replicated_module_id) AS replicated_b, count(DISTINCT atg.sample) AS support_n_samples, round(avg(n_edges), 6) AS mean_edges,
-  median(n_edges)::double AS median_edges, round(avg(mean_rho), 6) AS mean_rho, round(avg(edge_density), 6) AS mean_density FROM atg JOIN rp x ON atg.sample = x.sample AND module_a = x.module_id JOIN rp y ON atg.sample = y.sample AND module_b = y.module_id GROUP BY 1, 2"""))
+@query("replicated_antagonism", _ctes([*_ANT, _REP], """SELECT least(x.replicated_module_id, y.replicated_module_id) AS replicated_a, greatest(x.replicated_module_id, y.replicated_module_id) AS replicated_b, count(DISTINCT atg.sample) AS support_n_samples, round(avg(n_edges), 14) AS mean_edges,
+  median(n_edges)::double AS median_edges, round(avg(mean_rho), 14) AS mean_rho, round(avg(edge_density), 14) AS mean_density FROM atg JOIN rp x ON atg.sample = x.sample AND module_a = x.module_id JOIN rp y ON atg.sample = y.sample AND module_b = y.module_id GROUP BY 1, 2"""))
 def replicated_antagonism(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = modules.antagonism(_weighted(spark, sf_dir).where("sign = 'neg'"), _labels(spark, sf_dir))
-    return _round(modules.replicated_antagonism(pairs, _replicated(spark, sf_dir)), "mean_edges", "mean_rho", "mean_density")
+    return _round(modules.replicated_antagonism(pairs, _replicated(spark, sf_dir)), "mean_edges", "mean_rho", "mean_density", digits=14)
 
 
 _MOD = "mo AS (SELECT DISTINCT gene_id, module_id FROM lb WHERE sample = '0')"
