@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType
@@ -13,16 +13,11 @@ from pyspark.sql.types import DoubleType
 from cytoquill.functions import special
 
 
-def bh(p: Column, by: Sequence[str], tie: Sequence[str]) -> Column:
-    """Benjamini-Hochberg adjusted p over the groups ``by``; nulls stay out of the count and stay null. ``tie``: a total order for equal p."""
-    order = Window.partitionBy(*by).orderBy(p.asc_nulls_last(), *tie)
-    rank = F.row_number().over(order)
-    n = F.count(p).over(Window.partitionBy(*by))
-    return F.when(p.isNotNull(), F.least(F.lit(1.0), F.min(p * n / rank).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
-
-
 def adjust(df: DataFrame, p: str, by: Sequence[str], tie: Sequence[str], name: str = "padj") -> DataFrame:
-    """``df`` with the adjusted p, in two window passes over one partitioning."""
+    """``df`` with Benjamini-Hochberg adjusted p over the groups ``by``, in two window passes over one partitioning.
+
+    Nulls stay out of the count and stay null. ``tie``: columns that make the order of equal p total.
+    """
     order = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), *tie)
     raw = F.col(p) * F.count(p).over(Window.partitionBy(*by)) / F.row_number().over(order)
     df = df.withColumn("_raw", raw)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +148,3 @@ def modularity(graph: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     squares = ends.agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
     m = F.col("m")
     return inside.join(F.broadcast(squares), how="cross").select((F.col("inside") / m - resolution * F.col("dd") / (4 * m * m)).alias("modularity"))  # one row each
-
-
-def pairs_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, float]]:
-    for b in batches:
-        yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
