@@ -142,6 +142,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(found)
     gone = gone.toDF(mark, lost)
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias(mark)
+    # Documents that lose lines go to the texts while they are few; beyond that Spark deals out both sides.
+    gone = F.broadcast(gone) if gone.count() <= similarity.FEW else gone
     joined = docs.select("*", key).join(gone, mark, "left").select(*[docs[c] for c in docs.columns], lost)
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
