@@ -16,6 +16,10 @@ from cytoquill.llm.common import arrow_map, discard, map_batches, materialize, p
 from cytoquill.llm.minhash import row_key
 
 
+#: Keys are dealt out by so many of their bits.
+BUCKET_BITS = 12
+
+
 def normal(line: str) -> str:
     """What of a line counts: lower case, white space as single spaces."""
     return " ".join(line.lower().split())
@@ -37,8 +41,8 @@ def bands(texts: list[str], width: int, count: int, rows: int) -> tuple[np.ndarr
     return number[order], shingles._mixed(keys[order]).view(np.int64)
 
 
-def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows: int) -> DataFrame:
-    """``row, doc_id, line, uid, chars, bands`` of each line of ``least_chars`` characters or more; within a batch, a line that comes again has no bands.
+def split_lines(docs: DataFrame, least_chars: int) -> DataFrame:
+    """``row, doc_id, line, uid, chars`` of each line of ``least_chars`` characters or more.
 
     Besides, a row for each document, with the number of its lines as ``chars`` and no line and uid.
     """
@@ -61,38 +65,102 @@ def split_lines(docs: DataFrame, least_chars: int, width: int, count: int, rows:
                             owner.append(d)
                             number.append(i)
                 none = pa.nulls(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.list_(pa.int64()))], names=["row", "doc_id", "line", "uid", "chars", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(sizes, pa.int32())], names=["row", "doc_id", "line", "uid", "chars"])
                 if not at:
                     continue
-                distinct = list(new)
                 places = np.array(at)
-                first = np.zeros(len(at), bool)
-                first[np.unique(places, return_index=True)[1]] = True
-                # New lines get their numbers in order, so the bands lie in the order of the first lines.
-                whose, found = bands(distinct, width, count, rows)
-                ends = np.concatenate([[0], (np.where(first, np.bincount(whose, minlength=len(distinct))[places], 0) * count).cumsum()]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)), mask=pa.array(~first))
-                uids = np.array([line_uid(x) for x in distinct], np.int64)[places]
-                chars = np.array([len(x) for x in distinct], np.int32)[places]
+                uids = np.array([line_uid(x) for x in new], np.int64)[places]
+                chars = np.array([len(x) for x in new], np.int32)[places]
                 own = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(number, pa.int32()), pa.array(uids), pa.array(chars), keys], names=["row", "doc_id", "line", "uid", "chars", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(number, pa.int32()), pa.array(uids), pa.array(chars)], names=["row", "doc_id", "line", "uid", "chars"])
+
+    return map_batches(docs.select("row", "doc_id", "text"), run, "row long, doc_id long, line int, uid long, chars int")
+
+
+def postings(docs: DataFrame, least_chars: int, width: int, count: int, rows: int) -> DataFrame:
+    """``bucket, keys, uids``: the band keys of each batch's distinct lines, packed by the first bits of the key.
+
+    ``keys`` has 32 further bits of each key and ``uids`` the line of each. Packed, a key moves in
+    12 bytes; lines whose keys agree in these bits only are told apart by the exact check.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1 << 20):
+                new = {line: None for text in part.column(0).to_pylist() if text for raw in text.split("\n") if len(line := normal(raw)) >= least_chars}
+                if not new:
+                    continue
+                distinct = list(new)
+                whose, found = bands(distinct, width, count, rows)
+                keys = found.reshape(-1).view(np.uint64)
+                uids = np.repeat(np.array([line_uid(x) for x in distinct], np.int64)[whose], count)
+                bucket = (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(cuts, len(bucket))
+                packed = [
+                    pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])])
+                    for x in (keys.astype(np.uint32), uids)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *packed], names=["bucket", "keys", "uids"])
+
+    return map_batches(docs.select("text"), run, "bucket int, keys binary, uids binary")
+
+
+def line_stars(packed: DataFrame) -> DataFrame:
+    """``leader, uid`` of ``postings``, as ``similarity.stars`` has them: a key's leader is its smallest uid. A task holds one bucket."""
+
+    def whole(keys: list[np.ndarray], uids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k, u = np.concatenate(keys), np.concatenate(uids)
+        order = np.lexsort((u, k))
+        k, u = k[order], u[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (u[1:] != u[:-1]))
+        return k[new], u[new]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, uids, size, limit = None, [], [], 0, 1 << 21
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            k, u = whole(keys, uids)
+            new = np.append(True, k[1:] != k[:-1])
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(k)))
+            shared = np.repeat(counts > 1, counts)
+            if shared.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(u[first], counts)[shared]), pa.array(u[shared])], names=["leader", "uid"])
+
+        for batch in batches:
+            for bucket, k, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from flush()
+                    now, keys, uids, size, limit = bucket, [], [], 0, 1 << 21
+                keys.append(np.frombuffer(k, np.uint32))
+                uids.append(np.frombuffer(u, np.int64))
+                size += len(keys[-1])
+                if size > limit:  # lines that stand in many batches count once
+                    k, u = whole(keys, uids)
+                    keys, uids, size, limit = [k], [u], len(k), 2 * max(len(k), 1 << 20)
+        yield from flush()
 
-    return map_batches(docs.select("row", "doc_id", "text"), run, "row long, doc_id long, line int, uid long, chars int, bands array<long>")
+    return map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), run, "leader long, uid long").distinct()
 
 
 def find_removals(
-    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 12, rows: int = 6, least_chars: int = 10,
+    docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5), width: int = 5, count: int = 46, rows: int = 6, least_chars: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
     """``row, removed``: the numbers of the lines to take out of each document of ``docs`` (row, doc_id, text) that loses any; and the table of ``split_lines``.
 
     Lines are linked if their sets of ``width``-character shingles have this Jaccard similarity or
     more, after ``normal``; of each component the line of the smallest doc_id, then number, stays.
     Equal lines are always found; a pair of similarity s meets in a band with a chance of
-    1 - (1 - s ** rows) ** count, and is then confirmed exactly. Lines under ``least_chars``
+    1 - (1 - s ** rows) ** count (46 bands of 6: all but 1e-6 at 0.8), and is then confirmed exactly. Lines under ``least_chars``
     characters, blank ones too, stay.
     """
-    found = materialize(split_lines(docs, least_chars, width, count, rows))
-    members = materialize(similarity.stars(found.where("bands is not null").select(F.explode("bands").alias("key"), "uid")))
+    found = materialize(split_lines(docs, least_chars))
+    members = materialize(line_stars(postings(docs, least_chars, width, count, rows)))
     own = found.where("uid is not null").select("row", "doc_id", "line", "uid", "chars")
     distinct = materialize(own.groupBy("uid").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("line").alias("line"), F.first("chars").alias("n")))
     owners = materialize(distinct.join(members.select("uid").distinct(), "uid", "left_semi"))

@@ -296,6 +296,22 @@ def test_lines_equal_brute_force(spark):
     assert mine == want and all(r["n_lines"] == 9 and r["n_kept"] == 9 - len(r["removed"]) for r in got.values())
 
 
+def test_pairs_just_over_the_threshold_are_linked(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(1200):
+        line = rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(94, 104))
+        other = line.copy()
+        for at in (rng.randint(10, 40), rng.randint(55, 80)):
+            other[at] = "#"
+        a, b = ({"".join(x[j : j + 5]) for j in range(len(x) - 4)} for x in (line, other))
+        assert 80 * len(a | b) <= 100 * len(a & b) <= 85 * len(a | b)
+        docs += [(2 * i, "".join(line), "en", "a", 9), (2 * i + 1, "".join(other), "en", "a", 9)]
+    got = {r["doc_id"]: r["removed"] for r in lines.line_report(spark.createDataFrame(docs, DOCS)).collect()}
+    missed = [i for i in range(1200) if (got[2 * i], got[2 * i + 1]) != ([], [0])]
+    assert not missed
+
+
 def test_lines_are_taken_out(spark, odd_docs):
     docs = clash(spark.createDataFrame([(1, "a first line of text\nsecond line here", "en", "a", 9), (2, "A first  line of text\nmy very own line\n", "en", "a", 9), (3, "second line here", "en", "a", 9), (4, None, "en", "a", None), (5, "", "en", "a", 0)], DOCS))
     out = lines.dedup_lines(docs)
