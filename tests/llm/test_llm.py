@@ -456,6 +456,13 @@ def test_fuzzy_hits_equal_a_search_without_seeds():
 
 
 # Quality.
+def test_the_commonest_word_counts_wherever_it_stands():
+    words = [f"w{i}" for i in range(300)] + ["again"] * 100
+    at = quality.FEATURES.index("commonest_word")
+    a, b, c = quality.text_features([" ".join(words), " ".join(words[::-1]), " \n"])[:, at]
+    assert a == b == 0.25 and c == 0
+
+
 def test_model_learns_and_holds_out(spark):
     rng = random.Random(0)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(500)]
