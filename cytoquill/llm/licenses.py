@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -53,7 +53,7 @@ class NoticeSearch:
         import regex
 
         self.notices = list(notices)
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in self.notices]
+        self.first, self.best = ([regex.compile(f"{flag}(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in self.notices] for flag in ("", "(?b)"))
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(self.notices):
             cuts = [len(n.text) * i // (n.edits + 1) for i in range(n.edits + 2)]
@@ -79,14 +79,17 @@ class NoticeSearch:
                     got[-1][0], got[-1][1] = min(start, got[-1][0]), max(end, got[-1][1])
                 else:
                     got.append([start, end])
-        hits = []
-        for k, spans in windows.items():
-            for start, end in spans:
-                at, stop = max(start, 0), min(end, len(text))
-                while at < stop and (m := self.patterns[k].search(text, at, stop)):
-                    hits.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), m.start() + 1)
-        return sorted(hits)
+        return sorted(hit for k, spans in windows.items() for start, end in spans for hit in self._hits(k, text, max(start, 0), min(end, len(text))))
+
+    def _hits(self, k: int, text: str, at: int, stop: int) -> Iterator[tuple[int, int, int, int]]:
+        """Hits of notice k from left to right: of those about the first place that matches the best one, then what lies before it and after it."""
+        n = self.notices[k]
+        least = max(len(n.text) - n.edits, 1)
+        while stop - at >= least and (m := self.first[k].search(text, at, stop)):
+            best = self.best[k].search(text, m.start(), min(m.start() + len(n.text) + 3 * n.edits, stop))
+            yield from self._hits(k, text, m.start(), best.start())
+            yield k, best.start(), best.end(), sum(best.fuzzy_counts)
+            at = best.end()
 
 
 def lower(text: str) -> str:

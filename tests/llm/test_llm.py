@@ -455,6 +455,33 @@ def test_fuzzy_hits_equal_a_search_without_seeds():
             assert not direct or min(h[3] for h in mine) == sum(direct.fuzzy_counts)
 
 
+def test_every_hit_of_a_list_is_found():
+    import regex
+
+    search = licenses.NoticeSearch()
+    two = "gnu general public licence, gnu general public license"
+    k = next(k for k, n in enumerate(search.notices) if n.label == "gpl")
+    assert [h[1:] for h in search.find(two) if h[0] == k] == [(0, 26, 1), (28, 54, 0)]
+    rng = random.Random(21)
+    for _ in range(150):
+        k = rng.randrange(len(search.notices))
+        n, text, planted = search.notices[k], rng.choice(["", "a list: "]), []
+        for _ in range(rng.randint(2, 5)):
+            own = list(n.text)
+            for i in rng.sample(range(3, len(own) - 3), rng.randint(0, n.edits)):
+                own[i] = rng.choice(["z", "", own[i] + "z"])
+            planted.append((len(text), len(text) + len("".join(own))))
+            text += "".join(own) + rng.choice([", ", "; ", " and ", "\n"])
+        hits = [h[1:] for h in search.find(text) if h[0] == k]
+        assert len(hits) == len(planted) and all(min(b, d) - max(a, c) > (d - c) / 2 for (a, b, _), (c, d) in zip(hits, planted, strict=True))
+        # Without seeds: the best of each planted copy, with what lies about it, and nothing in between.
+        pattern = regex.compile(f"(?b)(?:{regex.escape(n.text)}){{e<={n.edits}}}")
+        want = [pattern.search(text, a and a - 1, b + 1) for a, b in planted]
+        assert [e for _, _, e in hits] == [sum(m.fuzzy_counts) for m in want]
+        ends = [0, *[x for a, b, _ in hits for x in (a, b)], len(text)]
+        assert not any(pattern.search(text, a, b) for a, b in zip(ends[::2], ends[1::2], strict=True))
+
+
 # Quality.
 def test_the_commonest_word_counts_wherever_it_stands():
     words = [f"w{i}" for i in range(300)] + ["again"] * 100
