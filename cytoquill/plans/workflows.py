@@ -32,13 +32,14 @@ def dense_vectors(values: DataFrame, cells: DataFrame, genes: list[str]) -> Data
 
 def consensus_pipeline(
     counts: DataFrame, cells: DataFrame, seed: int = 0, proportions: tuple[float, ...] = (0.325, 0.325, 0.35), normalization: str = "pf_log", components: int = 50, alpha: float = 0.01,
-    k: int | None = None, most_genes: int = 2000, feature_alpha: float = 0.05, select_features: bool = True, stop_after: str | None = None,
+    k: int | None = None, most_genes: int | None = None, feature_alpha: float = 0.05, select_features: bool = True, stop_after: str | None = None,
 ) -> Result:
     """Split, normalise, select features, decompose both splits, keep what both reproduce, neighbours, consensus, communities.
 
     ``cells``: cell_id and a numeric id. The status tells where it ended: ``complete``,
     ``stopped``, ``no_features_selected`` or ``no_reproducible_pcs``. Selected are genes with
-    an anti-correlated partner in both splits, the widest-spread ``most_genes`` of them.
+    an anti-correlated partner in both splits: all of them, or the widest-spread ``most_genes``
+    if that is given. More than ``decompose.MOST_COLUMNS`` raise ValueError.
     """
     made = Envelope.create("consensus", {"seed": seed, "proportions": list(proportions), "normalization": normalization, "components": components, "alpha": alpha}, {"columns": sorted(counts.columns)})
     parts = split.split_counts(counts, proportions, seed).persist()  # several actions follow
@@ -57,8 +58,12 @@ def consensus_pipeline(
             found = features.anticorrelated_genes(rho, genes, cneg)
             out.tables[f"features_{s}"] = found
             chosen = chosen.join(found.where("selected").select("gene_id"), "gene_id", "left_semi")
-    spread = values["train"].join(chosen, "gene_id").groupBy("gene_id").agg(F.sum(F.col("value") * F.col("value")).alias("v"))
-    names = sorted(r["gene_id"] for r in spread.orderBy(F.desc("v"), "gene_id").limit(most_genes).collect())
+    if most_genes is not None:
+        spread = values["train"].join(chosen, "gene_id").groupBy("gene_id").agg(F.sum(F.col("value") * F.col("value")).alias("v"))
+        chosen = spread.orderBy(F.desc("v"), "gene_id").limit(most_genes).select("gene_id")
+    names = sorted(r["gene_id"] for r in chosen.limit(decompose.MOST_COLUMNS + 1).collect())
+    if len(names) > decompose.MOST_COLUMNS:
+        raise ValueError(f"more than {decompose.MOST_COLUMNS} genes are selected; lower feature_alpha or give most_genes")
     out.diagnostics["features"] = len(names)
     if not names:
         out.status = "no_features_selected"

@@ -314,3 +314,26 @@ def test_workflow_ends_early(spark):
     assert workflows.consensus_pipeline(c, cells, stop_after="normalize").status == "stopped"
     assert workflows.consensus_pipeline(c, cells, feature_alpha=1e-9).status == "no_features_selected"
     assert workflows.consensus_pipeline(c, cells, select_features=False, components=5).status in ("no_reproducible_pcs", "complete")
+
+
+def test_workflow_keeps_every_gene(spark, monkeypatch):
+    from cytoquill.plans import workflows
+
+    c = spark.createDataFrame([(f"c{i}", f"g{j}", 1 + (i + j) % 3) for i in range(4) for j in range(i, 2010, 2)], "cell_id string, gene_id string, n long")
+    cells = spark.createDataFrame([(f"c{i}", i) for i in range(4)], "cell_id string, id long")
+    run = lambda **how: workflows.consensus_pipeline(c, cells, select_features=False, stop_after="features", **how).diagnostics["features"]
+    assert run() == 2010 and run(most_genes=7) == 7
+    monkeypatch.setattr(decompose, "MOST_COLUMNS", 2009)
+    with pytest.raises(ValueError):
+        run()
+
+
+def test_registered_workflow_selects_features(spark, monkeypatch):
+    from cytoquill.plans import workflow_queries, workflows
+
+    seen = []
+    monkeypatch.setattr(workflow_queries, "_cells", lambda *a: None)
+    monkeypatch.setattr(workflow_queries.domain, "counts", lambda *a: None)
+    monkeypatch.setattr(workflows, "consensus_pipeline", lambda *a, **how: seen.append(how) or workflows.Result("complete"))
+    workflow_queries.workflow_consensus(spark, "")
+    assert any(how.get("select_features", True) for how in seen) and all(how.get("most_genes") is None for how in seen)
