@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 
+#: Levels that are looked up for columns, at most.
+MOST_LEVELS = 10_000
+
+
 class DesignError(ValueError):
     pass
 
@@ -115,9 +119,11 @@ def build_design(samples: DataFrame, formula: str, sample: str = "pb_id") -> Des
 
 
 def dummies(samples: DataFrame, factor: str, sample: str = "pb_id", levels: Sequence[str] | None = None) -> DataFrame:
-    """``sample`` and a 0/1 column for each level of a factor, in Spark."""
+    """``sample`` and a 0/1 column for each level of a factor, in Spark. Without ``levels`` they are looked up; more than 10,000 raise DesignError."""
     if levels is None:
-        levels = [r[0] for r in samples.select(F.col(factor).cast("string")).distinct().orderBy(factor).limit(10_000).collect()]
+        levels = [r[0] for r in samples.select(F.col(factor).cast("string")).distinct().orderBy(factor).limit(MOST_LEVELS + 1).collect()]
+        if len(levels) > MOST_LEVELS:
+            raise DesignError(f"{factor!r} has more than {MOST_LEVELS} levels; name those wanted")
     return samples.select(sample, *[F.when(F.col(factor) == v, 1.0).otherwise(0.0).alias(f"{factor}_{v}") for v in levels])
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Labels that are looked up for columns, at most.
+MOST_LABELS = 10_000
+
+
 class PseudobulkError(ValueError):
     pass
 
@@ -45,9 +49,11 @@ def coordinates(membership: DataFrame, cells: DataFrame, x: str, y: str, weights
 
 
 def wide_proportions(proportions: DataFrame, prefix: str, labels: Sequence[str] | None = None) -> DataFrame:
-    """A column ``prefix__label`` for each label, 0 where a pseudobulk hasn't it. Without ``labels`` they are looked up, at most 10,000."""
+    """A column ``prefix__label`` for each label, 0 where a pseudobulk hasn't it. Without ``labels`` they are looked up; more than 10,000 raise PseudobulkError."""
     if labels is None:
-        labels = [r[0] for r in proportions.select("label").distinct().orderBy("label").limit(10_000).collect()]
+        labels = [r[0] for r in proportions.select("label").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
+        if len(labels) > MOST_LABELS:
+            raise PseudobulkError(f"more than {MOST_LABELS} labels; name those wanted")
     out = proportions.groupBy("pb_id").pivot("label", list(labels)).agg(F.first("proportion")).fillna(0.0)
     return out.withColumnsRenamed({v: f"{prefix}__{v}" for v in labels})
 

@@ -49,9 +49,15 @@ def gene_sets_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.parse_gmt(lines, "PROMO").withColumn("genes", F.array_join("genes", ","))
 
 
+#: Names of libraries that are read at once, at most.
+MOST_LIBRARIES = 1000
+
+
 @query("gene_set_libraries", "SELECT DISTINCT p_type AS library FROM part WHERE p_type LIKE 'S%'")
 def gene_set_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [r[0] for r in domain.read_table(spark, sf_dir, "part").select("p_type").distinct().limit(1000).collect()]
+    names = [r[0] for r in domain.read_table(spark, sf_dir, "part").select("p_type").distinct().limit(MOST_LIBRARIES + 1).collect()]
+    if len(names) > MOST_LIBRARIES:
+        raise ValueError(f"more than {MOST_LIBRARIES} libraries")
     return spark.createDataFrame([(x,) for x in tables.resolve_libraries(["SMALL", "STANDARD", "SMALL"], names)], "library string")
 
 

@@ -337,3 +337,17 @@ def test_registered_workflow_selects_features(spark, monkeypatch):
     monkeypatch.setattr(workflows, "consensus_pipeline", lambda *a, **how: seen.append(how) or workflows.Result("complete"))
     workflow_queries.workflow_consensus(spark, "")
     assert any(how.get("select_features", True) for how in seen) and all(how.get("most_genes") is None for how in seen)
+
+
+def test_too_many_levels_are_an_error(spark, monkeypatch):
+    from cytoquill.plans import set_queries
+
+    rows = spark.createDataFrame([("p", f"l{i}", 0.25) for i in range(4)], "pb_id string, label string, proportion double")
+    assert len(pseudobulk.wide_proportions(rows, "x").columns) == 5 and len(design.dummies(rows, "label").columns) == 5
+    parts = spark.range(1001).selectExpr("concat('SMALL', id) AS p_type")
+    monkeypatch.setattr(set_queries.domain, "read_table", lambda *a: parts)
+    monkeypatch.setattr(pseudobulk, "MOST_LABELS", 3, raising=False)
+    monkeypatch.setattr(design, "MOST_LEVELS", 3, raising=False)
+    for call in (lambda: pseudobulk.wide_proportions(rows, "x"), lambda: design.dummies(rows, "label"), lambda: set_queries.gene_set_libraries(spark, "")):
+        with pytest.raises(ValueError, match="more than"):
+            call()
