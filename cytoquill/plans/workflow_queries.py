@@ -29,7 +29,7 @@ def workflow_de(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as cells of clusters and samples, their rounded coordinates as counts."""
     v = domain.vectors(spark, sf_dir)
     cells = v.select(F.col("id").alias("cell_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("sample"), F.concat(F.lit("k"), F.col("label") % 3).alias("cluster"))
-    counts = v.select(F.col("id").alias("cell_id"), F.posexplode("vec").alias("g", "x")).where("g < 20").select("cell_id", F.concat(F.lit("g"), F.col("g")).alias("gene_id"), F.floor(F.abs(F.col("x")) * 100 + 1).cast("long").alias("n"))
+    counts = v.select(F.col("id").alias("cell_id"), F.posexplode("vec").alias("g", "x")).select("cell_id", F.concat(F.lit("g"), F.col("g")).alias("gene_id"), F.floor(F.abs(F.col("x")) * 100 + 1).cast("long").alias("n"))
     sets = spark.createDataFrame([("lib", "low", [f"g{i}" for i in range(10)]), ("lib", "high", [f"g{i}" for i in range(10, 20)])], "library string, pathway string, genes array<string>")
     return workflows.de_pipeline(knn.one_graph(v, 20), counts, cells, sets).tables["enrichment"]
 

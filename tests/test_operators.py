@@ -351,3 +351,15 @@ def test_too_many_levels_are_an_error(spark, monkeypatch):
     for call in (lambda: pseudobulk.wide_proportions(rows, "x"), lambda: design.dummies(rows, "label"), lambda: set_queries.gene_set_libraries(spark, "")):
         with pytest.raises(ValueError, match="more than"):
             call()
+
+
+def test_registered_workflow_takes_every_component(spark, monkeypatch):
+    from cytoquill.plans import workflow_queries, workflows
+
+    seen = []
+    v = spark.createDataFrame([(1, [0.5] * 64, 0)], "id long, vec array<float>, label int")
+    monkeypatch.setattr(workflow_queries.domain, "vectors", lambda *a: v)
+    monkeypatch.setattr(workflow_queries.knn, "one_graph", lambda *a: None)
+    monkeypatch.setattr(workflows, "de_pipeline", lambda graph, counts, *a: seen.append(counts.count()) or workflows.Result("complete", {"enrichment": counts}))
+    workflow_queries.workflow_de(spark, "")
+    assert seen == [64]
