@@ -18,8 +18,10 @@ from functools import lru_cache
 
 #: White space, letters and numbers among the characters that FAST covers, after lower-casing.
 _SPACE, _LETTER, _NUMBER = r"\t-\r ", "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾"
+#: Characters up to U+024F, where _LETTER ends, but for those whose small forms lie beyond it.
+_LATIN = "".join(c for c in map(chr, range(0xA1, 0x250)) if max(c.lower()) < chr(0x250))
 #: Texts with other characters are normalised and split by the library itself.
-_SLOW = re.compile("[^\x00-\x1b\x20-\x84\xa1-įı-ɏ‐-‧€]")
+_SLOW = re.compile(f"[^\x00-\x1b\x20-\x84{_LATIN}‐-‧€]")
 _WORD = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 END = "</w>"
 
@@ -38,8 +40,9 @@ class WordBpe:
     decoded text in UTF-8) for words; both are bounded caches.
     """
 
-    #: Words that the caches hold at most before they start anew; results don't depend on it.
+    #: Words, and bytes of words, that the caches hold at most before they start anew; results don't depend on it.
     MOST = 300_000
+    MOST_BYTES = 8 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -82,6 +85,7 @@ class WordBpe:
     def _clear(self) -> None:
         self.ids: dict[str, bytes] = {t: i.to_bytes(4, "little") for t, i in self.added.items()}
         self.shown: dict[str, bytes] = {t: t.encode() for t in self.added}
+        self.held = 0
 
     @staticmethod
     def _reach(known: dict[bytes, int]) -> dict[bytes, int]:
@@ -182,6 +186,7 @@ class WordBpe:
     def learn(self, new: Iterable[str], shown: bool = True) -> None:
         """Fill the caches for distinct words that they lack, by the trie walk."""
         by_bytes = {w.encode("utf-8", "surrogateescape"): w for w in new}
+        self.held += sum(map(len, by_bytes))
         four, text = self.four.__getitem__, self.text.__getitem__
         for raw, ids in self.encode_trie(by_bytes):
             w = by_bytes[raw]
@@ -202,6 +207,7 @@ class WordBpe:
 
     def _learn_some(self, new: list[str]) -> None:
         got = self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+        self.held += sum(map(len, new))
         ends = [i + 1 for i, t in enumerate(got) if t in self.ends]
         if len(ends) != len(new):
             self.learn(new, shown=False)
@@ -211,7 +217,7 @@ class WordBpe:
 
     def split_all(self, texts: list[str | None]) -> list[list[str]]:
         """Pre-tokens of each text (null: none); afterwards ``ids`` and ``shown`` hold each of them."""
-        if len(self.ids) > self.MOST:
+        if len(self.ids) > self.MOST or self.held > self.MOST_BYTES:
             self._clear()
         split = [self.words(t) if t else [] for t in texts]
         self.learn(set().union(*split).difference(self.shown))
@@ -219,7 +225,7 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; the library encodes the words that are new."""
-        if len(self.ids) > 2 * self.MOST:
+        if len(self.ids) > 2 * self.MOST or self.held > 2 * self.MOST_BYTES:
             self._clear()
         split = [self.words(t) if t else [] for t in texts]
         new = set().union(*split).difference(self.ids)

@@ -77,6 +77,20 @@ def test_trie_and_library_agree_on_random_words():
     assert all(np.frombuffer(b.ids[w], "<u4").tolist() == trie[w] for w in words)
 
 
+def test_every_character_is_encoded_as_the_library_does():
+    """Alone, inside a word, and between digits: U+0001 to U+2FFF, one text for each."""
+    chars = [chr(c) for c in range(1, 0x3000)]
+    texts = [t for c in chars for t in (c, f"ab{c}cd", f"{c}XY 1{c}2")]
+    b = bpe.WordBpe(WORDS)
+    known = b.library.encode_batch(texts, add_special_tokens=False)
+    want = [np.array(e.ids, "<u4").tobytes() for e in known]
+    assert b.encode(texts) == want
+    b.release()
+    split = b.split_all(texts)
+    assert [b"".join(map(b.ids.__getitem__, ws)) for ws in split] == want
+    assert [b" ".join(map(b.shown.__getitem__, ws)).decode() for ws in split] == [b.library.decode(e.ids, skip_special_tokens=False) for e in known]
+
+
 def test_small_caches_change_nothing(monkeypatch, odd_docs):
     texts = [x for _, x in texts_of(odd_docs)]
     b = bpe.WordBpe(WORDS)
