@@ -71,8 +71,8 @@ def frequent_lengths(docs: DataFrame, model: str, text_col: str = "text", sample
     """
     text = F.col(text_col)
     seen: Counter[str] = Counter()
-    rows = docs.select(text.alias("text")).where((F.length(text) <= 20_000) & (F.pmod(F.xxhash64(text), F.lit(16)) == 0)).limit(sample_rows)
-    for row in rows.toLocalIterator():
+    rows = docs.select(text.alias("text")).where((F.length(text) <= 20_000) & (F.pmod(F.xxhash64(text), F.lit(16)) == 0))
+    for row in rows.take(sample_rows):  # reads a few partitions, as many as it needs
         seen.update(pretokens(row["text"]))
     lengths = PieceLengths(model, {})
     return {w: lengths[w] for w, n in seen.most_common(entries) if n > 1 and len(w) <= _KEPT_CHARS}
