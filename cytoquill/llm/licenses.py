@@ -46,7 +46,10 @@ _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57
 
 
 class NoticeSearch:
-    """All notices at once: a notice with e edits allowed is cut into e + 1 seeds, of which a hit has one unchanged."""
+    """All notices at once: a notice with e edits allowed is cut into e + 1 seeds, of which a hit has one unchanged.
+
+    Where seeds stand, windows are laid about them; edit distances narrow these to the parts with hits, and the regex library finds spans and edits there.
+    """
 
     def __init__(self, notices: Sequence[Notice] = NOTICES) -> None:
         import ahocorasick
@@ -54,6 +57,7 @@ class NoticeSearch:
 
         self.notices = list(notices)
         self.first, self.best = ([regex.compile(f"{flag}(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in self.notices] for flag in ("", "(?b)"))
+        self.places = [{c: sum(1 << i for i, x in enumerate(n.text) if x == c) for c in set(n.text)} for n in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(self.notices):
             cuts = [len(n.text) * i // (n.edits + 1) for i in range(n.edits + 2)]
@@ -79,7 +83,35 @@ class NoticeSearch:
                     got[-1][0], got[-1][1] = min(start, got[-1][0]), max(end, got[-1][1])
                 else:
                     got.append([start, end])
-        return sorted(hit for k, spans in windows.items() for start, end in spans for hit in self._hits(k, text, max(start, 0), min(end, len(text))))
+        near = ((k, a, b) for k, spans in windows.items() for start, end in spans for a, b in self._near(k, text, max(start, 0), min(end, len(text))))
+        return sorted(hit for k, a, b in near for hit in self._hits(k, text, a, b))
+
+    def _near(self, k: int, text: str, start: int, stop: int) -> list[tuple[int, int]]:
+        """The parts of a window in which all hits of notice k lie, apart from each other.
+
+        Edit distances to all ends by bit-parallel columns of the dynamic programme: a few integer
+        operations a character, so text that repeats seeds without being the notice costs the regex library nothing.
+        """
+        n, places = self.notices[k], self.places[k]
+        size = len(n.text)
+        full, top = (1 << size) - 1, size - 1
+        up, down, distance = full, 0, size
+        spans: list[tuple[int, int]] = []
+        for at in range(start, stop):
+            same = places.get(text[at], 0)
+            x = same | down
+            y = (((same & up) + up) ^ up) | same
+            plus, minus = down | ~(y | up) & full, up & y
+            distance += (plus >> top) - (minus >> top)
+            plus, minus = plus << 1 & full, minus << 1 & full
+            up, down = minus | ~(x | plus) & full, plus & x
+            if distance <= n.edits:
+                a = max(start, at + 1 - size - n.edits)
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = spans[-1][0], at + 1
+                else:
+                    spans.append((a, at + 1))
+        return spans
 
     def _hits(self, k: int, text: str, at: int, stop: int) -> Iterator[tuple[int, int, int, int]]:
         """Hits of notice k from left to right: of those about the first place that matches the best one, then what lies before it and after it."""
