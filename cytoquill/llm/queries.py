@@ -43,8 +43,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Share of a window's tokens for the source that holds more than a third of the documents; the others divide the rest by what they hold.
+MIXTURE = {"src0": 0.3}
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), target=MIXTURE)
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
