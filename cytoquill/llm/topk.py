@@ -1,4 +1,4 @@
-"""Exact top-k inner-product search: a ball tree for each shard, branch and bound over blocks of queries."""
+"""Exact top-k inner-product search: a ball tree for each shard, branch and bound in the order of each query's own bounds."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoquill.llm.common import map_batches
+from cytoquill.llm.common import map_batches, materialize
 
 #: Points of a leaf, at most (more if they all coincide).
 LEAF = 128
@@ -48,43 +48,69 @@ class BallTree:
     def search(self, qids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and scores that can be among the k best of each query; ``floor``: scores that k candidates are known to reach.
 
-        ``floor`` is raised in place, so that later shards of the task share it. A node is left
-        out only if its bound lies under the floor, so ties stay. Children are taken in order of
-        their bounds, the higher one first.
+        From the root on, a query goes on to a node's children only if the node's bound reaches its
+        floor, so ties stay. Each query visits its leaves in the order of its own bounds, the highest first, until
+        one lies under its floor, which is its k-th score as soon as that is higher.
         """
         best_id = [np.empty(0, np.int64)] * len(qids)
         best = [np.empty(0)] * len(qids)
+        if not len(self.ids) or not len(qids):
+            return best_id, best
+        bounds, leaves = self._leaf_bounds(queries, floor)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        rows = np.arange(len(qids))
+        for t in range(len(leaves)):
+            at = order[rows, t]
+            keep = bounds[rows, at] >= np.maximum(floor[rows], -1e300)
+            rows, at = rows[keep], at[keep]
+            if not len(rows):
+                break
+            by_leaf = np.argsort(at, kind="stable")
+            for group in np.split(by_leaf, np.flatnonzero(np.diff(at[by_leaf])) + 1):
+                a, b = self.nodes[leaves[at[group[0]]]][:2]
+                self._visit(a, b, rows[group], qids, queries, k, floor, best_id, best)
+        return best_id, best
+
+    def _visit(self, a: int, b: int, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray, best_id: list[np.ndarray], best: list[np.ndarray]) -> None:
+        scores = queries[rows] @ self.points[a:b].T
+        ids = self.ids[a:b]
+        scores[ids[None, :] == qids[rows][:, None]] = -np.inf
+        some = (scores >= np.maximum(floor[rows], -1e300)[:, None]).any(1)
+        for r, s in zip(rows[some], scores[some], strict=True):
+            ok = s >= max(floor[r], -1e300)
+            i, v = np.concatenate([best_id[r], ids[ok]]), np.concatenate([best[r], s[ok]])
+            top = np.lexsort((i, -v))[:k]
+            best_id[r], best[r] = i[top], v[top]
+            if len(top) == k:
+                floor[r] = max(floor[r], v[top[-1]])
+
+    def _bound(self, node: int, queries: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Upper bounds of inner products with a node's points, rounded up: they and the scores are sums of some dozens of products."""
+        return (queries @ self.centres[node] + norms * self.radii[node]) * (1 + 1e-12) + 1
+
+    def _leaf_bounds(self, queries: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """A row for each query with its bounds of the leaves, minus infinity where a node above is left out."""
         norms = np.sqrt((queries**2).sum(1))
-        # The bounds are rounded up: they and the scores are sums of some dozens of products.
-        bound = lambda node, rows: (queries[rows] @ self.centres[node] + norms[rows] * self.radii[node]) * (1 + 1e-12) + 1
-        todo = [(0, np.arange(len(qids)), bound(0, slice(None)))] if len(self.ids) else []
+        rows: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.arange(len(queries)), self._bound(0, queries, norms))}
+        leaves = [i for i, n in enumerate(self.nodes) if n[2] < 0]
+        out = np.full((len(queries), len(leaves)), -np.inf)
+        place = {n: i for i, n in enumerate(leaves)}
+        todo = [0]
         while todo:
-            node, rows, high = todo.pop()
-            keep = high >= floor[rows]
-            rows = rows[keep]
-            if not len(rows):
+            node = todo.pop()
+            own, high = rows.pop(node)
+            keep = high >= floor[own]
+            own, high = own[keep], high[keep]
+            if not len(own):
                 continue
-            a, b, left, right = self.nodes[node]
+            _, _, left, right = self.nodes[node]
             if left < 0:
-                scores = queries[rows] @ self.points[a:b].T
-                ids = self.ids[a:b]
-                scores[ids[None, :] == qids[rows][:, None]] = -np.inf
-                for r, s in zip(rows, scores, strict=True):
-                    ok = s >= max(floor[r], -1e300)
-                    if not ok.any():
-                        continue
-                    i, v = np.concatenate([best_id[r], ids[ok]]), np.concatenate([best[r], s[ok]])
-                    top = np.lexsort((i, -v))[:k]
-                    best_id[r], best[r] = i[top], v[top]
-                    if len(top) == k:
-                        floor[r] = max(floor[r], v[top[-1]])
+                out[own, place[node]] = high
                 continue
-            x, y = bound(left, rows), bound(right, rows)
-            first, second = (left, x), (right, y)
-            if y.sum() > x.sum():
-                first, second = second, first
-            todo += [(second[0], rows, second[1]), (first[0], rows, first[1])]
-        return best_id, best
+            for child in (left, right):
+                rows[child] = own, np.minimum(high, self._bound(child, queries[own], norms[own]))
+                todo.append(child)
+        return out, leaves
 
 
 def quantized(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -95,90 +121,83 @@ def quantized(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     )
 
 
-def _matrix(rows: pa.RecordBatch) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    ids = rows.column(0).to_numpy(zero_copy_only=False)
-    v = rows.column(1)
+def _by_size(ids: np.ndarray, v: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and a matrix of the vectors of each length."""
     sizes = np.diff(v.offsets.to_numpy())
     flat = v.flatten().to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
-    return ids, {int(n): np.stack([flat[e - n : e] for e in ends[sizes == n]]) if n else np.empty((int((sizes == 0).sum()), 0)) for n in np.unique(sizes)} | {-1: sizes}
+    return {int(n): (ids[sizes == n], np.stack([flat[e - n : e] for e in ends[sizes == n]]) if n else np.empty((int((sizes == 0).sum()), 0))) for n in np.unique(sizes)}
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = 65_536, block: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest inner products of each query with all rows but its own.
 
-    ``vectors`` and ``queries`` are of ``quantized`` form: integer components, as doubles; scores
-    must stay under 2**53. Ties go to the smaller vec_id; with fewer than k other rows, all of
+    ``vectors`` and ``queries`` are of ``quantized`` form: integer components, as doubles; where scores
+    could reach 2**53, which doubles don't hold exactly, OverflowError is raised. Ties go to the smaller vec_id; with fewer than k other rows, all of
     them. Only vectors of a query's length are its candidates. A repeated query row is one query; a repeated row of
-    ``vectors`` is a candidate each time. Queries go out in blocks of ``block`` rows, which bounds
-    what the driver holds and broadcasts. Each task builds a ball tree for each shard of its rows
-    and shares the k-th scores so far among its shards; tasks start from the k-th scores that a
-    first pass finds, in which each task looks only at the leaf of each query's highest bound.
+    ``vectors`` is a candidate each time. Vectors are dealt out to shards of about ``shard`` rows, each of which is one
+    ball tree, and queries to blocks of about ``block`` rows, each of which goes to every shard: two passes
+    over the vectors, however many queries there are. In the first pass each query looks only at the leaf of its highest bound in
+    each shard; the k-th score of all that is its floor in the second, for every shard alike.
     """
-    spark = vectors.sparkSession
-    found: DataFrame | None = None
-    for ids, points in _blocks(queries, block):
-        sent = spark.sparkContext.broadcast((ids, points))
-        floors = None
-        for probe in (True, False):
-            shards = map_batches(vectors, _searcher(sent, k, floors, probe), "query_id long, vec_id long, score long")
-            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            ranked = shards.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            if probe:
-                low = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") == k)
-                floors = spark.sparkContext.broadcast({r["query_id"]: r["low"] for r in low.toLocalIterator()})
-        ranked = ranked.select("query_id", "rank", "vec_id", "score")
-        found = ranked if found is None else found.unionByName(ranked)
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found
-
-
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    ids: list[int] = []
-    points: list[np.ndarray] = []
-    for row in queries.dropDuplicates(["vec_id"]).select("vec_id", "v").toLocalIterator():
-        ids.append(row["vec_id"])
-        points.append(np.array(row["v"], float))
-        if len(ids) == block:
-            yield np.array(ids, np.int64), points
-            ids, points = [], []
-    if ids:
-        yield np.array(ids, np.int64), points
-
-
-def _searcher(sent, k: int, floors, probe: bool, shard: int = 65_536):
+    stored = materialize(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("at")))
+    asked = materialize(queries.dropDuplicates(["vec_id"]).select("vec_id", "v"))
+    shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((stored, shard), (asked, block)))
+    points = stored.select(F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("block"))
+
+    def searched(asked: DataFrame, probe: bool) -> DataFrame:
+        sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        dealt = points.unionByName(sent).repartition("shard").sortWithinPartitions("shard", "kind", "block")
+        found = map_batches(dealt, _searcher(k, probe), "query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = searched(asked.withColumn("floor", F.lit(None).cast("double")), True)
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k)
+    asked = materialize(asked.join(floors.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left"))
+    return searched(asked, False).select("query_id", "rank", "vec_id", "score")
+
+
+def _searcher(k: int, probe: bool):
+    """Rows come sorted by shard: first its points, then the queries, block by block."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qpoints = sent.value
-        by_size: dict[int, np.ndarray] = {}
-        for n in {len(q) for q in qpoints}:
-            by_size[n] = np.array([i for i, q in enumerate(qpoints) if len(q) == n])
-        start = floors.value if floors is not None else {}
-        floor = np.array([start.get(int(q), -np.inf) for q in qids], float)
+        now: int | None = None
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        rows: dict[int, int] = {}
-
-        def flush(n: int) -> Iterator[pa.RecordBatch]:
-            ids, points = (np.concatenate(x) for x in zip(*held.pop(n), strict=True))
-            rows.pop(n)
-            at = by_size[n]
-            tree = BallTree(ids, points)
-            own = floor[at]
-            queries = np.stack([qpoints[i] for i in at])
-            got_id, got = (_probe if probe else BallTree.search)(tree, qids[at], queries, k, own)
-            floor[at] = own
-            sizes = [len(x) for x in got_id]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[at], sizes)), pa.array(np.concatenate(got_id)), pa.array(np.concatenate(got).astype(np.int64))], names=["query_id", "vec_id", "score"])
+        trees: dict[int, BallTree] = {}
+
+        def answers(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for n, parts in held.items():
+                trees[n] = BallTree(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            held.clear()
+            floors = dict(zip(rows.column(2).to_pylist(), rows.column(4).to_pylist(), strict=True))
+            for n, (qids, queries) in _by_size(rows.column(2).to_numpy(), rows.column(3)).items():
+                if n not in trees:
+                    continue
+                tree = trees[n]
+                floor = np.array([-np.inf if floors[q] is None else floors[q] for q in qids.tolist()])
+                if np.sqrt((queries**2).sum(1)).max() * np.sqrt((tree.points**2).sum(1)).max(initial=0) >= 2**53:
+                    raise OverflowError("scores may reach 2**53")
+                got_id, got = (_probe if probe else BallTree.search)(tree, qids, queries, k, floor)
+                sizes = [len(x) for x in got_id]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate(got_id)), pa.array(np.concatenate(got).astype(np.int64))], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            ids, parts = _matrix(batch)
-            sizes = parts.pop(-1)
-            for n, points in parts.items():
-                if n in by_size:
-                    held.setdefault(n, []).append((ids[sizes == n], points))
-                    rows[n] = rows.get(n, 0) + len(points)
-                    if rows[n] >= shard:
-                        yield from flush(n)
-        for n in list(held):
-            yield from flush(n)
+            marks = [batch.column(i).to_numpy() for i in (0, 1, 5)]
+            cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if marks[0][a] != now:
+                    now = marks[0][a]
+                    held.clear()
+                    trees.clear()
+                if marks[1][a]:
+                    yield from answers(rows)
+                else:
+                    for n, part in _by_size(rows.column(2).to_numpy(), rows.column(3)).items():
+                        held.setdefault(n, []).append(part)
 
     return run
 
