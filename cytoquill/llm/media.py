@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from cytoquill.llm.common import arrow_map
 
-ITEM = "struct<position:int,kind:string,text:string,digest:string,source:string,caption:string>"
+ITEM = "struct<position:int,kind:string,text:string,digest:string,source:string,caption:string,bytes:long>"
 #: References of this form carry a payload's SHA-256.
 SCHEME = "sha256:"
 _MEDIA = {"img", "video", "audio", "source", "embed"}
-_HIDDEN = {"script", "style", "template", "noscript", "head"}
+_HIDDEN = {"script", "style", "template", "noscript", "title", "head"}
+#: What stands in a head; any other element ends it.
+_IN_HEAD = _HIDDEN | {"meta", "link", "base"}
 _BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "br", "tr", "td", "th", "ul", "ol", "table", "figure", "nav", "header", "footer", "main", "blockquote", "pre", "hr", "body", "html"}
 #: Samples of a stored row.
 WIDTH = 64
@@ -25,63 +27,97 @@ _PNG = b"\x89PNG\r\n\x1a\n"
 
 
 class _Sequence(HTMLParser):
-    def __init__(self) -> None:
+    """Collects items. An element that is never closed neither hides the rest of a page nor takes it as its caption."""
+
+    def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
+        low = page.lower()
+        self.closes = {tag: low.count(f"</{tag}") for tag in (*_HIDDEN, "figcaption", "figure")}
         self.items: list[dict] = []
         self.run: list[str] = []
         self.hidden: list[str] = []
         self.figure: list[int] = []
         self.caption: list[str] | None = None
 
+    def add(self, **item: object) -> None:
+        self.items.append({"position": len(self.items), "kind": None, "text": None, "digest": None, "source": None, "caption": None, "bytes": None} | item)
+
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         self.run.clear()
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "source": None, "caption": None})
+            self.add(kind="text", text=text)
+
+    def set_cdata_mode(self, elem: str, **how: object) -> None:
+        if self.hidden and self.hidden[-1] == elem:  # else it is never closed, and what follows is read as usual
+            super().set_cdata_mode(elem, **how)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _HIDDEN:
+        if self.hidden and self.hidden[-1] == "head" and tag not in _IN_HEAD:
+            self.hidden.pop()
+        if tag in _HIDDEN and (tag == "head" or self.closes[tag] > 0):
             self.hidden.append(tag)
         if self.hidden:
             return
         if tag in _BLOCK:
             self.flush()
         if tag == "figure":
+            self.end_caption()
             self.figure.append(len(self.items))
-        elif tag == "figcaption":
+        elif tag == "figcaption" and (self.closes["figcaption"] > 0 or (self.figure and self.closes["figure"] > 0)):
             self.flush()
+            self.end_caption()
             self.caption = []
         elif tag in _MEDIA and (source := dict(attrs).get("src")):
             self.flush()
-            self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": source[len(SCHEME) :].lower() if source.startswith(SCHEME) else None, "source": source, "caption": dict(attrs).get("alt") or None})
+            declared = dict(attrs).get("data-bytes") or ""
+            digest = source[len(SCHEME) :].lower() if source.startswith(SCHEME) else None
+            self.add(kind="media", digest=digest, source=source, caption=dict(attrs).get("alt") or None, bytes=int(declared) if declared.isdecimal() and len(declared) < 19 else None)
+
+    def end_caption(self) -> None:
+        """What was read of a caption goes to the media of its figure; without any, it is text."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        media = [i for i in self.items[self.figure[-1] :] if i["kind"] == "media"] if self.figure else []
+        for item in media:
+            item["caption"] = text or item["caption"]
+        if text and not media:
+            self.add(kind="text", text=text)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in self.closes:
+            self.closes[tag] -= 1
         if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.pop()
+            if tag in self.hidden:
+                del self.hidden[self.hidden.index(tag) :]
             return
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figure[-1] if self.figure else len(self.items) :]:
-                if item["kind"] == "media" and text:
-                    item["caption"] = text
+        if tag == "figcaption":
+            self.end_caption()
             return
         if tag in _BLOCK:
             self.flush()
-        if tag == "figure" and self.figure:
-            self.figure.pop()
+        if tag == "figure":
+            self.end_caption()
+            if self.figure:
+                self.figure.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if not self.hidden:
             (self.run if self.caption is None else self.caption).append(data)
 
 
 def parse_sequence(page: str | None) -> list[dict]:
-    """Text runs and media references of a page, in order; a figure's caption goes to its media, else ``alt`` does."""
-    p = _Sequence()
+    """Text runs and media references of a page, in order; a figure's caption goes to its media, else ``alt`` does.
+
+    ``bytes`` is the size that a reference declares as ``data-bytes``.
+    """
+    p = _Sequence(page or "")
     p.feed(page or "")
     p.close()
+    p.end_caption()
     p.flush()
     return p.items
 
@@ -101,9 +137,10 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     Text items and references without a payload have nulls there; position and caption stay with their item.
     """
     items = sequences.select("id", F.explode("items").alias("item")).select("id", "item.*")
-    extra = [c for c in media.columns if c != "digest"]
-    media = media.select("digest", *[F.col(c).alias(f"media_{c}") for c in extra])
-    return items.join(media, "digest", "left")
+    # Items without a digest, most of all, have a key each, so that they don't meet in one task.
+    items = items.withColumn("key", F.coalesce("digest", F.concat(F.lit("~"), F.xxhash64("id", "position").cast("string"))))
+    media = media.select(F.col("digest").alias("key"), *[F.col(c).alias(f"media_{c}") for c in media.columns if c != "digest"])
+    return items.join(media, "key", "left").drop("key")
 
 
 def store(payload: bytes) -> bytes:
@@ -158,17 +195,19 @@ def pad(raw: bytes) -> bytes:
 
 
 def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``page_id, html, n_bytes``: a page for each document, whose figure refers to the padded text by digest."""
+    """``page_id, html``: a page for each document, its lines as paragraphs; in their midst stands a figure that refers to the padded text by digest."""
+
+    def page(text: str) -> str:
+        raw = text.encode()
+        figure = f'<figure><img src="{SCHEME}{hashlib.sha256(pad(raw)).hexdigest()}" data-bytes="{len(raw)}" alt=""><figcaption>{len(raw)} bytes of text</figcaption></figure>'
+        lines = html.escape(text, quote=False).split("\n") if text else []
+        half = len(lines) // 2
+        return "".join([*(f"<p>{x}</p>" for x in lines[:half]), figure, *(f"<p>{x}</p>" for x in lines[half:])])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        raw = [(t or "").encode() for t in cols["text"]]
-        return {
-            "page_id": cols["doc_id"],
-            "html": [f'<figure><img src="{SCHEME}{hashlib.sha256(pad(r)).hexdigest()}" alt=""><figcaption>{html.escape(f"{len(r)} bytes of document {i}")}</figcaption></figure>' for i, r in zip(cols["doc_id"], raw, strict=True)],
-            "n_bytes": [len(r) for r in raw],
-        }
+        return {"page_id": cols["doc_id"], "html": [page(t or "") for t in cols["text"]]}
 
-    return arrow_map(_two(docs, id_col, text_col), run, "page_id long, html string, n_bytes long")
+    return arrow_map(_two(docs, id_col, text_col), run, "page_id long, html string")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = media.resolve(media.interleave(media.text_pages(docs)), media.media_features(media.text_media(docs)))
     return items.where("kind = 'media'").select(
         F.col("id").alias("doc_id"),
-        F.regexp_extract("caption", r"^(\d+) bytes", 1).cast("long").alias("n_bytes"),
+        F.col("bytes").alias("n_bytes"),
         F.col("media_payload_bytes").alias("payload_bytes"),
         F.col("media_payload_sha256").alias("payload_sha256"),
         F.col("media_tail_crc32").alias("tail_crc32"),
@@ -43,6 +43,17 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page of ``pages`` as a sequence: how many items it has, and the digest of its texts in order."""
+    texts = F.filter("items", lambda x: x["kind"] == "text")
+    return media.interleave(read_table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"),
+        F.size("items").cast("long").alias("n_items"),
+        F.size(texts).cast("long").alias("n_texts"),
+        F.sha2(F.concat_ws("\n", F.transform(texts, lambda x: x["text"])).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 #: Share of a window's tokens for the source that holds more than a third of the documents; the others divide the rest by what they hold.
 MIXTURE = {"src0": 0.3}
 
@@ -82,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_media_columns": op3_media_columns,
+    "media_page_sequences": media_page_sequences,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_exact_topk": op5_exact_topk,
     "op6_license_scan": op6_license_scan,
