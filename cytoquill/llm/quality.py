@@ -52,7 +52,7 @@ def text_features(texts: list[str | None]) -> np.ndarray:
         distinct = Counter(words)
         w = max(len(words), 1)
         out[i, :5] = math.log1p(len(raw)), math.log1p(len(words)), sum(map(len, distinct)) / max(len(distinct), 1), math.log1p(max(map(len, words), default=0)), math.log1p(len(raw) / len(lines))
-        out[i, 14:19] = len(distinct) / w, len(set(lines)) / len(lines), max(distinct.values(), default=0) / w, sum(map(bytes.__eq__, words, words[2:])) / w, len(zlib.compress(raw, 1)) / len(raw)
+        out[i, 14:19] = len(distinct) / w, len(set(lines)) / len(lines), max(distinct.values(), default=0) / w, sum(map(bytes.__eq__, words, words[1:])) / w, len(zlib.compress(raw, 1)) / len(raw)
     total = np.maximum(counts.sum(1), 1)
     k = counts @ _CLASSES
     letters = np.maximum(k[:, 0] + k[:, 1], 1)
