@@ -116,62 +116,99 @@ def signatures(sets: Sequence[np.ndarray], k: int, block: int = 16_384) -> np.nd
     return out
 
 
+#: Sets of fewer elements than HASHED have signatures of the one kind, sets of BINNED and more those of the other: all pairs of a similarity of 0.8 or more have one in common.
+BINNED, HASHED = 40, 50
+#: Bins that an empty bin looks at, in turn, for a coordinate.
+_TRIES = 128
+
+
+@lru_cache(maxsize=4)
+def _donors(k: int) -> np.ndarray:
+    return np.random.default_rng(78).integers(0, k, (_TRIES, k))
+
+
 def line_signatures(texts: Sequence[str], width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of k coordinates of each text's runs of ``width`` characters: (rows, binned, rows, hashed).
-
-    Long texts are binned: each run falls into one of k bins by hash, where the smallest counts,
-    so a character costs one hash, whatever k is. An empty bin takes the coordinate of the next one
-    that isn't, round the end, with its distance mixed in. Where many bins stay empty, those
-    copies would depend on each other; such short texts are hashed k times instead. The share of
-    filled bins, by which this is decided, follows from the set alone, and texts between 0.78 and
-    0.9 have both kinds of signature: of two similar texts both have one kind in common.
+    """Signatures of k coordinates of each text's runs of ``width`` characters: (columns, binned, columns, hashed), a column for each text.
+
+    Sets of ``BINNED`` runs or more are binned: each run falls into one of k bins by hash, where the
+    smallest counts, so a character costs one hash, whatever k is. An empty bin takes the coordinate of the first
+    filled one of a random row of bins, which is the same for all texts; a coordinate of two
+    sets is still equal with a chance of their similarity. Sets of fewer than ``HASHED`` runs are hashed k times. Those
+    in between have both kinds. Texts of fewer than ``width`` characters have one run, all of them.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.full((len(texts), k), 0xFFFFFFFF, np.uint32)
+    ends = sizes.cumsum()
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass") + bytes(4 * (width - 1)), np.uint32)
     n = len(codes) - width + 1
     odd = _ODD.astype(np.uint32)
-    owner = np.empty(0, np.int64)
-    s = np.empty(0, np.uint32)
-    if n > 0:
-        s = codes[:n] * odd[0]
-        for i in range(1, width):
-            s += codes[i : i + n] * odd[i]
-        s = _mixed32(s)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        inside = owner[:n] == owner[width - 1 :]
-        s, owner = s[inside], owner[:n][inside]
-        np.minimum.at(out.reshape(-1), owner * k + ((s.astype(np.uint64) * np.uint64(k)) >> np.uint64(32)).astype(np.int64), s)
-    if (tiny := np.flatnonzero(sizes < width)).size:  # their one run is all of them
-        s = np.append(s, [_mixed32(np.array([hash_text(texts[i])], np.uint32))[0] for i in tiny])
-        order = np.argsort(np.append(owner, tiny), kind="stable")
-        s, owner = s[order].astype(np.uint32), np.append(owner, tiny)[order]
-    filled = (out != 0xFFFFFFFF).sum(1)
-    long, short = np.flatnonzero(100 * filled >= 78 * k), np.flatnonzero(100 * filled < 90 * k)
-    binned = out[long]
-    # From the right, twice round: the place of the nearest coordinate at or after each bin.
-    at = np.where(binned != 0xFFFFFFFF, np.arange(k, dtype=np.int32), 4 * k)
-    at = np.minimum.accumulate(np.concatenate([at, at + k], 1)[:, ::-1], axis=1)[:, ::-1][:, :k]
-    far = (at - np.arange(k, dtype=np.int32)).astype(np.uint32)
-    binned = np.take_along_axis(binned, at % k, 1) + far * np.uint32(0x9E3779B1)
-    hashed = np.zeros((len(short), k), np.uint32)
-    if len(short):
-        place = np.full(len(texts), -1)
-        place[short] = np.arange(len(short))
-        mine = place[owner] >= 0
-        x, who = s[mine], place[owner[mine]]
-        a, b = _lines(k)
-        count = np.bincount(who, minlength=len(short))
-        ends = count.cumsum()
-        low = 0
-        while low < len(short):  # blocks that stay in the cache
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 8192)))
-            begin = int(ends[low - 1]) if low else 0
-            part = x[begin : int(ends[high - 1])]
-            for c in range(0, k, 16):
-                hashed[low:high, c : c + 16] = np.minimum.reduceat((part[:, None] ^ b[None, c : c + 16]) * a[None, c : c + 16], ends[low:high] - count[low:high] - begin, axis=0)
-            low = high
-    return long, binned, short, hashed
+    s = codes[:n] * odd[0]
+    for i in range(1, width):
+        s += codes[i : i + n] * odd[i]
+    s = _mixed32(s)
+    runs = np.maximum(sizes - (width - 1), 0)
+    for i in np.flatnonzero(sizes < width):
+        if sizes[i]:
+            s[ends[i] - sizes[i]] = _mixed32(np.array([hash_text(texts[i])], np.uint32))[0]
+            runs[i] = 1
+    long = np.flatnonzero(runs >= BINNED)
+    # Bins lie together, so that filling is done for all texts at once; what isn't binned goes to a bin behind all others.
+    binned = np.full(k * len(texts) + 1, 0xFFFFFFFF, np.uint32)
+    at = ((s >> np.uint32(16)) * np.uint32(k) >> np.uint32(16)).astype(np.int64) * len(texts)
+    at += np.repeat(np.arange(len(texts)), sizes)
+    past = ends[:, None] - np.arange(1, width)
+    at[past[past >= 0]] = k * len(texts)
+    np.minimum.at(binned, at, s * np.uint32(0x9E3779B1) >> np.uint32(4))
+    binned = binned[:-1].reshape(k, len(texts))
+    if len(long) < len(texts):
+        binned = np.take(binned, long, axis=1)
+    hashed_too = runs < BINNED
+    # Where few bins are filled, the runs may repeat: then the distinct ones are counted.
+    if len(few := np.flatnonzero(np.count_nonzero(binned != 0xFFFFFFFF, axis=0) < HASHED)):
+        number = np.array([len(np.unique(s[ends[i] - sizes[i] :][: runs[i]])) for i in long[few]])
+        hashed_too[long[few]] = number < HASHED
+        stays = np.ones(len(long), bool)
+        stays[few] = number >= BINNED
+        long, binned = long[stays], np.compress(stays, binned, axis=1)
+    short = np.flatnonzero(hashed_too & (runs > 0))
+    return long, _filled(binned), short, _hashed(s, ends - sizes, runs, short, k)
+
+
+def _filled(binned: np.ndarray) -> np.ndarray:
+    """Columns of bins of 28 bits, the empty ones filled from the others of their column."""
+    out, other, donors = binned.copy(), np.empty_like(binned), _donors(len(binned))
+    for i, row in enumerate(donors[:14], 1):  # in four more bits stands which bin it was, so the minimum is of the first
+        np.take(binned, row, axis=0, out=other, mode="clip")
+        other |= np.uint32(i << 28)
+        np.minimum(out, other, out=out)
+    some = np.flatnonzero(out.max(0, initial=0) == 0xFFFFFFFF)  # few are left
+    bins, column = np.nonzero(out[:, some] == 0xFFFFFFFF)
+    column = some[column]
+    for row in donors[14:]:
+        if not len(bins):
+            break
+        got = binned[row[bins], column]
+        out[bins, column] = got
+        left = got == 0xFFFFFFFF
+        bins, column = bins[left], column[left]
+    return out
+
+
+def _hashed(s: np.ndarray, starts: np.ndarray, runs: np.ndarray, short: np.ndarray, k: int) -> np.ndarray:
+    """Minima of k hashes of the runs of the texts ``short``."""
+    hashed = np.zeros((k, len(short)), np.uint32)
+    a, b = _lines(k)
+    count = runs[short]
+    ends = count.cumsum()
+    low = 0
+    while low < len(short):  # blocks that stay in the cache
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 8192)))
+        own = count[low:high]
+        first = own.cumsum() - own
+        part = s[np.arange(own.sum()) + np.repeat(starts[short[low:high]] - first, own)]
+        for c in range(0, k, 16):
+            hashed[c : c + 16, low:high] = np.minimum.reduceat((part[:, None] ^ b[None, c : c + 16]) * a[None, c : c + 16], first, axis=0).T
+        low = high
+    return hashed
 
 
 def hash_text(text: str) -> int:

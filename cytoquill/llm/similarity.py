@@ -1,10 +1,10 @@
 """From shared keys to components of similar sets: stars of candidates, exact confirmation, union-find.
 
-Items are distinct shingle sets, known by ``uid`` (64 bits of the set's digest). Items that share
+Items are distinct shingle sets or lines, known by ``uid``, a number of their own. Items that share
 a key are candidates of each other. Each key names one of its items as leader, and all items of
 its keys gather around a leader: a star. Two items that share a key are in its leader's star, so
 confirming within stars loses no candidate, and no pair is ever written out: the rows are as many
-as keys. A large star is dealt out in blocks, of which each two meet in one task.
+as keys. A large star is dealt out in blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from cytoquill.llm.common import discard, map_batches, materialize, pieces
 
 #: Size of all sets of a block, about.
 BLOCK = 1 << 20
-#: Rows that are broadcast at most; beyond that Spark joins by shuffle.
-FEW = 1 << 19
+#: Bytes of a table that is broadcast, at most; beyond that Spark joins by shuffle.
+FEW_BYTES = 64 << 20
+#: A key with more than this part of all rows is joined by broadcast; there are fewer such keys than that.
+HOT = 256
 
 
 def stars(keys: DataFrame) -> DataFrame:
@@ -63,23 +65,58 @@ def stars(keys: DataFrame) -> DataFrame:
     return map_batches(dealt, run, "leader long, uid long").distinct()
 
 
-def with_few(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
-    """``rows`` joined with ``few`` (materialized) by a column of both; ``few`` goes by broadcast only if it is small."""
-    return rows.join(F.broadcast(few) if few.count() <= FEW else few, column)
+def few(df: DataFrame, lists: str | None = None) -> bool:
+    """Whether ``df`` (materialized: numbers, and a column of lists of numbers) takes ``FEW_BYTES`` at most as a broadcast table."""
+    rows, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)).first()
+    return 64 * rows + 8 * entries <= FEW_BYTES
 
 
-def confirm(members: DataFrame, sizes: DataFrame, texts: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], similarity: Fraction) -> DataFrame:
+def with_few(rows: DataFrame, other: DataFrame, columns: list[str], lists: str | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other`` (materialized) by columns of both; ``other`` goes by broadcast only if it is small."""
+    return rows.join(F.broadcast(other) if few(other, lists) else other, columns, how)
+
+
+def join_hot(rows: DataFrame, other: DataFrame, columns: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other``, which has one row for each key; ``hot``, of ``HOT`` keys at most, names those that are joined by broadcast."""
+    hot = F.broadcast(hot.select(columns))
+    much = rows.join(F.broadcast(other.join(hot, columns, "left_semi")), columns)
+    return much.unionByName(rows.join(hot, columns, "left_anti").join(other, columns, how))
+
+
+def confirm(members: DataFrame, texts: DataFrame, by: list[str], sets_of: Callable[[list[str]], list[np.ndarray]], similarity: Fraction) -> DataFrame:
     """``a, b``: edges that join all items of a star between which links of at least ``similarity`` lead.
 
-    ``members``: leader, uid, distinct; ``sizes``: uid, n; ``texts``: uid, text, from which
+    ``members`` (materialized): leader, uid, n, distinct, the leader among them; ``texts``: ``by`` (columns of ``members``), text, from which
     ``sets_of`` makes the sets in the task: texts are smaller than sets. An item may come more than once.
-    Of the links within what is already joined, some are left out.
+    Of the links within what is already joined, some are left out. In a star of more than a block
+    the items are first compared with the leader; only those that aren't linked with it meet the others, block by block.
     """
-    weights = members.join(sizes, "uid").groupBy("leader").agg(F.sum("n").alias("total")).select("leader", F.greatest(F.ceil(F.col("total") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-    dealt = members.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("leader", "uid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid").join(texts, "uid")
-    dealt = dealt.select("leader", "low", "high", "own", "uid", "text")
+    keep = ["leader", "uid", "n", *[c for c in by if c != "uid"]]
+    members = members.select(keep)
+    weights = materialize(members.groupBy("leader").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK).select("leader", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")))
+    zero = F.lit(0)
+    if weights.isEmpty():
+        return linked(members.withColumns({"low": zero, "high": zero, "own": zero}), texts, by, sets_of, similarity)
+    small = linked(members.join(weights, "leader", "left_anti").withColumns({"low": zero, "high": zero, "own": zero}), texts, by, sets_of, similarity)
+    large = materialize(members.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")))
+    each = F.explode(F.sequence(zero, F.col("blocks") - 1))
+    spread = large.where("uid <> leader").unionByName(large.where("uid = leader").withColumn("own", each))
+    near = materialize(linked(spread.withColumns({"low": F.col("own"), "high": F.col("own")}), texts, by, sets_of, similarity, leader_only=True))
+    pairs = near.select(F.col("a").alias("leader"), F.col("b").alias("uid"))
+    others = large.where("uid <> leader")
+    rest = materialize(others.join(pairs, ["leader", "uid"], "left_anti"))
+    parts = materialize(rest.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
+    rest = rest.join(parts, "leader").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    joined = others.join(pairs, ["leader", "uid"], "left_semi").join(parts, "leader").withColumn("own", F.col("own") + F.col("parts"))
+    rest = rest.withColumn("other", F.explode(F.sequence(zero, F.col("parts") + F.col("blocks") - 1)))
+    joined = joined.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    grid = rest.unionByName(joined).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    return small.union(near).union(linked(grid, texts, by, sets_of, similarity))
+
+
+def linked(dealt: DataFrame, texts: DataFrame, by: list[str], sets_of: Callable[[list[str]], list[np.ndarray]], similarity: Fraction, leader_only: bool = False) -> DataFrame:
+    """``a, b``: edges within each group of leader, low, high; see ``confirm``."""
+    dealt = dealt.join(texts, by).select("leader", "low", "high", "own", "uid", "text")
     up, down = similarity.numerator, similarity.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +125,7 @@ def confirm(members: DataFrame, sizes: DataFrame, texts: DataFrame, sets_of: Cal
 
         def flush() -> None:
             if len(uids) > 1:
-                a, b = links(uids, owns, held, key[0], up, down)
+                a, b = leader_links(uids, held, key[0], up, down) if leader_only else links(uids, owns, held, key[0], up, down)
                 out[0].extend(a)
                 out[1].extend(b)
 
@@ -114,6 +151,21 @@ def confirm(members: DataFrame, sizes: DataFrame, texts: DataFrame, sets_of: Cal
     return map_batches(sorted_rows, run, "a long, b long")
 
 
+def leader_links(uids: list[int], sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:
+    """Edges from the leader to all that link with it."""
+    x = sets[uids.index(leader)]
+    found = []
+    for uid, y in zip(uids, sets, strict=True):
+        if uid == leader or min(len(x), len(y)) * down < max(len(x), len(y)) * up:
+            continue
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")  # merges the two runs
+        c = int(np.count_nonzero(both[1:] == both[:-1]))
+        if c * down >= (len(x) + len(y) - c) * up:
+            found.append(uid)
+    return [leader] * len(found), found
+
+
 def links(uids: list[int], blocks: list[int], sets: list[np.ndarray], leader: int, up: int, down: int) -> tuple[list[int], list[int]]:
     """Edges that span the linked items: |x & y| * down >= |x | y| * up. Of two blocks only pairs across them count."""
     return (_few_links if len(uids) <= 12 else _many_links)(uids, blocks, sets, leader, up, down)
