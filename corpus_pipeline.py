@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cytoquill.llm import lines, minhash, packing, quality
 from cytoquill.llm.common import materialize, read_table
-from cytoquill.llm.queries import vocabulary
+from cytoquill.llm.queries import MIXTURE, vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, in the proportions of what is left of the sources."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Pieces of sequences of 4096 tokens, in the shares of ``MIXTURE``."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), target=MIXTURE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
