@@ -188,7 +188,8 @@ def find_removals(docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5
     owners = materialize(distinct.join(members.select("near").distinct(), "near", "left_semi").select("near", "uid", "n", "first.row", "first.row2", "first.line"))
     leaders = owners.select(F.col("near").alias("leader_near"), F.col("uid").alias("leader"))
     stars = materialize(members.withColumnRenamed("leader", "leader_near").join(owners, "near").join(leaders, "leader_near").select("leader", "uid", "n", *ROW, "line"))
-    asked = materialize(owners.groupBy(*ROW).agg(F.collect_list("line").alias("lines")))
+    # By one key, so that the table is small; what a clash of keys brings up besides isn't an owner's.
+    asked = materialize(owners.groupBy("row").agg(F.collect_list("line").alias("lines")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         served = set()  # rows that repeat both id and text give their lines once
@@ -200,13 +201,14 @@ def find_removals(docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5
                         continue
                     served.add((row, row2))
                     lines = normal_lines(text)
+                    wanted = [i for i in wanted if i < len(lines)]
                     out["row"] += [row] * len(wanted)
                     out["row2"] += [row2] * len(wanted)
                     out["line"] += wanted
                     out["text"] += [lines[i] for i in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["row2"], pa.int64()), pa.array(out["line"], pa.int32()), pa.array(out["text"], pa.string())], names=list(out))
 
-    texts = map_batches(similarity.with_few(docs.select(*ROW, "text"), asked, ROW, "lines").select(*ROW, "text", "lines"), run, "row long, row2 long, line int, text string")
+    texts = map_batches(similarity.with_few(docs.select(*ROW, "text"), asked, ["row"], "lines").select(*ROW, "text", "lines"), run, "row long, row2 long, line int, text string")
     roots = similarity.components(similarity.confirm(stars, texts, [*ROW, "line"], lambda t: shingles.char_shingles(t, width), similarity_at_least))
     # What comes once and has no link stays; of the rest, the place that stays is told by line.
     named = materialize(distinct.join(roots, "uid", "left").where("c > 1 or root is not null").select("hi", "lo", "c", F.coalesce("root", "uid").alias("root"), "first"))
@@ -229,7 +231,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     gone, found = find_removals(mine.select("doc_id", "text", *row_keys()), **how)
     out = found.where("hi is null").select(*ROW, "doc_id", F.col("chars").cast("long").alias("n_lines"))
-    out = similarity.with_few(out, gone, ROW, "removed", "left")
+    out = out.join(gone, ROW, "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"))
 
