@@ -19,9 +19,12 @@ def rank_correlation(counts: DataFrame, by: Sequence[str] = (), cells: DataFrame
     by = list(by)
     counts = counts.where("n > 0")
     n = (counts.select(*by, "cell_id").distinct() if cells is None else cells).groupBy(*by).agg(F.count("*").cast("double").alias("cells"))
+    # A gene's ranks follow from its histogram, which has a row for each different count, not for each cell.
     gene = Window.partitionBy(*by, "gene_id")
-    tied = Window.partitionBy(*by, "gene_id", "n")
-    own = counts.select(*by, "cell_id", "gene_id", "n", F.rank().over(gene.orderBy("n")).alias("low"), F.count("*").over(tied).alias("ties"), F.count("*").over(gene).alias("nonzero"))
+    up = gene.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.groupBy(*by, "gene_id", "n").agg(F.count("*").alias("ties"))
+    ranks = ranks.select(*by, "gene_id", "n", "ties", (F.coalesce(F.sum("ties").over(up), F.lit(0)) + 1).alias("low"), F.sum("ties").over(gene).alias("nonzero"))
+    own = counts.select(*by, "cell_id", "gene_id", "n").join(ranks, [*by, "gene_id", "n"])
     own = own.join(F.broadcast(n), by) if by else own.join(F.broadcast(n), how="cross")  # a row for each group
     zeros = F.col("cells") - F.col("nonzero")
     rank = zeros + F.col("low") + (F.col("ties") - 1) / 2

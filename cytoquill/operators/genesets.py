@@ -75,9 +75,10 @@ def enrich(de: DataFrame, sets: DataFrame, alpha: float = 0.05, sources: Mapping
 
 def enrich_by_columns(de: DataFrame, sets: DataFrame, stat_by_contrast: Mapping[str, str], alpha: float = 0.05) -> DataFrame:
     """As ``enrich``, with the statistic's column named for each contrast; all contrasts must be named, no others."""
-    found = {r[0] for r in de.select("contrast").distinct().limit(100_000).collect()}
+    # As many names as are given, and one more, tell whether they are the same.
+    found = {r[0] for r in de.select("contrast").distinct().limit(len(stat_by_contrast) + 1).collect()}
     if found != set(stat_by_contrast):
-        raise ValueError(f"statistics are needed for exactly these contrasts: {', '.join(sorted(found))}")
+        raise ValueError(f"statistics are needed for exactly the contrasts of the table, which include {', '.join(sorted(map(str, found)))}")
     stat = None
     for k, c in stat_by_contrast.items():
         stat = F.when(F.col("contrast") == k, F.col(c)) if stat is None else stat.when(F.col("contrast") == k, F.col(c))

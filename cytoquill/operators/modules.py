@@ -66,11 +66,19 @@ def default_k(n: int, least: int = 5, most: int = 50) -> int:
     return min(max(least, round(math.log(max(n, 1)))), most, max(n - 1, 0))
 
 
-def top_k_edges(edges: DataFrame, k: int, by: Sequence[str] = ("sample",), weight: str = "w_mean") -> DataFrame:
-    """Edges that are among the k heaviest of either end; ties go to the smaller neighbour."""
+def default_ks(rho: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
+    """``by…, k``: ``default_k`` of each sample's own number of genes, of both ends of its pairs."""
+    genes = rho.select(*by, F.explode(F.array("gene_a", "gene_b")).alias("g")).groupBy(*by).agg(F.count_distinct("g").alias("n"))
+    k = F.least(F.greatest(F.lit(5), F.round(F.log("n")).cast("int")), F.lit(50), F.col("n").cast("int") - 1)
+    return genes.select(*by, k.alias("k"))
+
+
+def top_k_edges(edges: DataFrame, k: int | DataFrame, by: Sequence[str] = ("sample",), weight: str = "w_mean") -> DataFrame:
+    """Edges that are among the k heaviest of either end; ties go to the smaller neighbour. ``k`` may be a table of by…, k."""
     both = edges.select(*by, F.col("gene_a").alias("g"), F.col("gene_b").alias("h"), F.col(weight).alias("w")).union(edges.select(*by, "gene_b", "gene_a", weight))
     order = Window.partitionBy(*by, "g").orderBy(F.desc("w"), "h")
-    kept = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    ranked = both.withColumn("r", F.row_number().over(order))
+    kept = ranked.join(F.broadcast(k), [*by]).where("r <= k") if isinstance(k, DataFrame) else ranked.where(F.col("r") <= k)  # a row for each sample
     return kept.groupBy(*by, F.least("g", "h").alias("gene_a"), F.greatest("g", "h").alias("gene_b")).agg(F.max("w").alias(weight))
 
 
@@ -199,7 +207,7 @@ def publication_sets(de: DataFrame, modules: DataFrame, profiles: DataFrame, alp
 def run_cohort(rho: DataFrame, cuts: DataFrame, k: int | None = None, resolution: float = 1.0, seed: int = 0, least_overlap: float = 0.3) -> dict[str, DataFrame]:
     """From correlations of all samples to replicated modules, all samples at once: every table by name."""
     edges = weighted_edges(concordant(union_splits(threshold_edges(rho, cuts))), cuts)
-    positive = top_k_edges(edges.where("sign = 'pos'"), k or default_k(rho.select("gene_a").distinct().count()))
+    positive = top_k_edges(edges.where("sign = 'pos'"), k or default_ks(rho))
     modules = find_modules(positive, resolution=resolution, seed=seed)
     pairs = antagonism(edges.where("sign = 'neg'"), modules)
     replicated = replicate(modules, least_overlap, resolution, seed)

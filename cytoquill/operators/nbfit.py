@@ -19,6 +19,7 @@ from cytoquill.functions import kernels, special
 from cytoquill.operators import checks, nb
 from cytoquill.operators.design import Design, FitError, build_design, one_vs_rest, pairwise
 from cytoquill.operators.genesets import adjust
+from cytoquill.sources.tables import checkpointed
 
 MIN_DISP = 1e-8
 _ARRAYS = ("counts", "mu", "hat", "cooks")
@@ -184,41 +185,54 @@ def _genewise_mu(y: np.ndarray, x: np.ndarray, size: np.ndarray, high: float) ->
     return np.maximum(kernels.fit_glm(y, x, size, start).mu, kernels.MIN_MU)
 
 
-def iterative_size_factors(counts: DataFrame, design: Design, rounds: int = 10, share: float = 0.95, most: int = 50_000_000) -> DataFrame:
+def iterative_size_factors(counts: DataFrame, design: Design, rounds: int = 10, share: float = 0.95) -> DataFrame:
     """``pb_id, size_factor`` that maximise the likelihood in turn with dispersions, for data in which every gene has a zero.
 
     Genes of the highest dispersions (above the quantile ``share``) don't count; factors have
-    geometric mean 1. The counts come to the driver: more than ``most`` of them are an error.
+    geometric mean 1. The likelihood of a sample's factor is concave in its logarithm, so a few
+    Newton steps find it, within 1.5 of the last one: each is a pass over the genes, from which
+    two sums for each sample come to the driver.
     """
-    n = len(design.samples)
-    arrays = gene_arrays(counts, design)
-    if (genes := arrays.count()) * n > most:
-        raise FitError("too many counts for iterative size factors; use positive counts", {"genes": genes, "samples": n})
-    y, x = _matrix(arrays.toPandas(), n), design.x
-    y = y[y.sum(1) > 0]
+    spark, n, x = counts.sparkSession, len(design.samples), design.x
+    high = float(max(10, n))
+    arrays = checkpointed(gene_arrays(counts, design))
     size = np.ones(n)
     for _ in range(rounds):
-        alpha, mu = _genewise(y, x, size, float(max(10, n)))
-        use = alpha <= np.quantile(alpha, share)
-        q = mu[use] / size
-        a, b = np.log(size) - 1.5, np.log(size) + 1.5
-        g = (5**0.5 - 1) / 2
-
-        def gain(t: np.ndarray, q: np.ndarray = q, use: np.ndarray = use, alpha: np.ndarray = alpha) -> np.ndarray:
-            m, inv = q * np.exp(t), 1 / alpha[use][:, None]
-            return (y[use] * np.log(np.maximum(m, 1e-300)) - (y[use] + inv) * np.log1p(m / inv)).sum(0)
-
-        for _ in range(50):  # all samples at once, each within its own bracket
-            c, d = b - g * (b - a), a + g * (b - a)
-            left = gain(c) > gain(d)
-            a, b = np.where(left, a, c), np.where(left, d, b)
-        t = (a + b) / 2
-        new = np.exp(t - t.mean())
-        if np.abs(np.log(new / size)).max() < 1e-4:
-            size = new
+        now = size
+
+        def fits(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                y = _matrix(pdf, n)
+                alpha, mu = _genewise(y, x, now, high)
+                yield pd.DataFrame({"alpha": alpha, "y": list(y), "q": list(mu / now)})
+
+        genes = checkpointed(arrays.mapInPandas(fits, "alpha double, y array<double>, q array<double>"))
+        limit = genes.agg(F.percentile("alpha", F.lit(share))).first()[0]
+        if limit is None:
+            break
+        used = genes.where(F.col("alpha") <= limit)
+        t = np.log(size)
+        low, most = t - 1.5, t + 1.5
+        for _ in range(30):
+            here = t
+
+            def slopes(batches: Iterator[pd.DataFrame], here: np.ndarray = here) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    if len(pdf):
+                        y, inv = np.stack(pdf["y"].to_numpy()), 1 / pdf["alpha"].to_numpy()[:, None]
+                        m = np.maximum(np.stack(pdf["q"].to_numpy()) * np.exp(here), 1e-300)
+                        yield pd.DataFrame({"i": np.arange(n), "up": (y - (y + inv) * m / (m + inv)).sum(0), "bend": ((y + inv) * m * inv / (m + inv) ** 2).sum(0)})
+
+            sums = used.mapInPandas(slopes, "i int, up double, bend double").groupBy("i").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend")).orderBy("i").toPandas()  # a row for each sample
+            new = np.clip(t + np.clip(sums["up"].to_numpy() / np.maximum(sums["bend"].to_numpy(), 1e-12), -1, 1), low, most)
+            done = np.abs(new - t).max() < 1e-9
+            t = new
+            if done:
+                break
+        before, size = size, np.exp(t - t.mean())
+        if np.abs(np.log(size / before)).max() < 1e-4:
             break
-        size = new
-    return counts.sparkSession.createDataFrame(list(zip(design.samples, size.tolist(), strict=True)), "pb_id string, size_factor double")
+    return spark.createDataFrame(list(zip(design.samples, size.tolist(), strict=True)), "pb_id string, size_factor double")
 
 
 def vst(counts: DataFrame, samples: DataFrame, formula: str = "~ 1", trend: str = "parametric") -> tuple[DataFrame, Mapping[str, float]]:

@@ -60,18 +60,19 @@ def tenk(counts: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     return proportional(counts, cells, target=1e4)
 
 
-def pearson_residuals(counts: DataFrame, cells: DataFrame, genes: DataFrame, theta: float = 100.0, most_cells: int = 50_000_000) -> DataFrame:
+def pearson_residuals(counts: DataFrame, cells: DataFrame, genes: DataFrame, theta: float = 100.0) -> DataFrame:
     """(x - mu) / sqrt(mu + mu**2 / theta) of every cell and gene, zeros too, clipped to the root of the number of cells.
 
-    mu is depth * gene total / grand total. The output is dense by definition: cells times genes
-    rows; more than ``most_cells`` of them raise ValueError. Cells and genes without counts give 0.
+    mu is depth * gene total / grand total. The output is dense by definition: a row for each cell and gene.
+    A cell's counts go with it as a map, so the dense rows arise in a narrow step and are never shuffled.
+    Cells and genes without counts give 0.
     """
-    n_cells, n_genes = cells.count(), genes.count()
-    if n_cells * n_genes > most_cells:
-        raise ValueError(f"{n_cells} cells x {n_genes} genes are more than {most_cells} dense values")
+    n_cells = cells.count()
     by_gene = genes.select("gene_id").join(counts.groupBy("gene_id").agg(F.sum("n").alias("g")), "gene_id", "left").fillna(0, ["g"])
     total = counts.agg(F.sum("n").alias("t"))
-    grid = depths(counts, cells).join(by_gene, how="cross").join(F.broadcast(total), how="cross").join(counts, ["cell_id", "gene_id"], "left")
+    held = counts.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "n"))).alias("held"))
+    rows = depths(counts, cells).join(held, "cell_id", "left").join(F.broadcast(total), how="cross")  # one row
+    grid = rows.join(by_gene, how="cross").withColumn("n", F.try_element_at("held", F.col("gene_id")))
     mu = F.col("depth") * F.col("g") / F.col("t")
     z = F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)) - mu, F.sqrt(mu + mu * mu / theta)), F.lit(0.0))
     bound = float(n_cells) ** 0.5

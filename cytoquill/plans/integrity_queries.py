@@ -9,6 +9,7 @@ from cytoquill.operators import compat
 from cytoquill.plans import domain, provenance
 from cytoquill.plans.base import query
 from cytoquill.plans.domain import more, sql
+from cytoquill.sources.tables import own_folder
 from cytoquill.streaming import qc_stream
 
 _PREFIX = provenance.prefix("cells").hex()
@@ -50,12 +51,7 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 
 def _folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="cytoquill-")
-    return at
+    return spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
 
 
 @query("stream_totals", "SELECT user_id::varchar AS cell_id, count(*) AS total_counts FROM events GROUP BY ALL")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cytoquill.operators import community, consensus, decompose, features, genesets, knn, nbfit, normalize, pseudobulk, split
 from cytoquill.plans.provenance import Envelope
+from cytoquill.sources.tables import checkpointed
 
 
 @dataclass
@@ -42,9 +43,10 @@ def consensus_pipeline(
     if that is given. More than ``decompose.MOST_COLUMNS`` raise ValueError.
     """
     made = Envelope.create("consensus", {"seed": seed, "proportions": list(proportions), "normalization": normalization, "components": components, "alpha": alpha}, {"columns": sorted(counts.columns)})
-    parts = split.split_counts(counts, proportions, seed).persist()  # several actions follow
-    long = split.long_splits(parts)
-    values = {s: normalize.normalize(long.where(F.col("split") == s).drop("split"), normalization, cells) for s in ("train", "val")}
+    # What several actions read is written once, which also cuts the lineage.
+    parts = checkpointed(split.split_counts(counts, proportions, seed))
+    long = checkpointed(split.long_splits(parts))
+    values = {s: checkpointed(normalize.normalize(long.where(F.col("split") == s).drop("split"), normalization, cells)) for s in ("train", "val")}
     out = Result("stopped", {"splits": parts, **values}, provenance=made)
     if stop_after == "normalize":
         return out
@@ -53,9 +55,9 @@ def consensus_pipeline(
     chosen = genes
     if select_features:
         for s in ("train", "val"):
-            rho = features.rank_correlation(long.where(F.col("split") == s).drop("split"), cells=cells.select("cell_id"))
+            rho = checkpointed(features.rank_correlation(long.where(F.col("split") == s).drop("split"), cells=cells.select("cell_id")))
             cneg = features.cutoffs(n, rho.count(), feature_alpha)[1]
-            found = features.anticorrelated_genes(rho, genes, cneg)
+            found = checkpointed(features.anticorrelated_genes(rho, genes, cneg))
             out.tables[f"features_{s}"] = found
             chosen = chosen.join(found.where("selected").select("gene_id"), "gene_id", "left_semi")
     if most_genes is not None:
@@ -70,15 +72,15 @@ def consensus_pipeline(
         return out
     if stop_after == "features":
         return out
-    a, b, found = decompose.find_components(*(dense_vectors(values[s], cells, names).persist() for s in ("train", "val")), components, alpha)
-    a, b = a.persist(), b.persist()
+    a, b, found = decompose.find_components(*(checkpointed(dense_vectors(values[s], cells, names)) for s in ("train", "val")), components, alpha)
+    a, b = checkpointed(a), checkpointed(b)
     out.tables |= {"pcs_train": a, "pcs_val": b}
     out.diagnostics |= {k2: v for k2, v in found.items() if isinstance(v, int)}
     if not found["train"] or not found["val"]:
         out.status = "no_reproducible_pcs"
         return out
     out.diagnostics["k"] = knn.choose_k(n, k)
-    graph = consensus.consensus_graph(a, b, out.diagnostics["k"])
+    graph = checkpointed(consensus.consensus_graph(a, b, out.diagnostics["k"]))
     out.tables |= {"graph": graph, "labels": community.cluster(graph, cells.select("id"), seed=seed)}
     out.status = "complete"
     out.provenance = made.with_diagnostics(out.diagnostics)

@@ -18,12 +18,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder that all of the session's machines see, where none is set: a temporary one of a local session, else one in the warehouse."""
+    if spark.sparkContext.master.startswith("local["):
+        return "file://" + tempfile.mkdtemp(prefix="cytoquill-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cytoquill-checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, which cuts its lineage; a folder of our own only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="cytoquill-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -99,9 +105,15 @@ def artifact_index(corr: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return n.join(both, "sample").join(cutoffs, ["sample", "split"], "left")
 
 
+#: Rows of a report in one JSON text, at most.
+MOST_ROWS = 100_000
+
+
 def write_json(rows: DataFrame | Mapping, path: str, spark: SparkSession | None = None) -> str:
-    """Canonical JSON of a bounded report, written as one text file through Spark's file system; returns the text."""
-    value = dict(rows) if isinstance(rows, Mapping) else [r.asDict(True) for r in rows.limit(100_000).collect()]
+    """Canonical JSON of a report of ``MOST_ROWS`` rows at most (more raise ValueError), written as one text file through Spark's file system; returns the text."""
+    value = dict(rows) if isinstance(rows, Mapping) else [r.asDict(True) for r in rows.limit(MOST_ROWS + 1).collect()]
+    if len(value) > MOST_ROWS:
+        raise ValueError(f"a report of more than {MOST_ROWS} rows; write a table instead")
     text = json.dumps(value, sort_keys=True, separators=(",", ":"), default=str, allow_nan=False)
     session = spark or (rows.sparkSession if isinstance(rows, DataFrame) else SparkSession.getActiveSession())
     session.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)

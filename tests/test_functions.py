@@ -76,6 +76,25 @@ def test_shrinking_pulls_small_effects_to_zero():
     assert (np.abs(b[:, 1]) <= np.abs(glm.beta[:, 1]) + 1e-9).all() and (se > 0).all()
 
 
+def test_lowess_is_local_and_robust():
+    rng = np.random.default_rng(2)
+    x = np.sort(rng.uniform(0, 10, 80))
+    y = np.sin(x) + rng.normal(0, 0.05, 80)
+    smooth = kernels.lowess(x, y, 0.2)
+    assert np.abs(smooth - np.sin(x)).max() < 0.15
+    off = y.copy()
+    off[40] += 30  # one far point moves its surroundings little
+    assert np.abs(kernels.lowess(x, off, 0.2, 6) - np.sin(x)).max() < 0.3
+    # Equivariant under shifts and scales of both axes, and its first round is weighted least squares.
+    assert kernels.lowess(3 * x + 7, -2 * y + 1, 0.2) == pytest.approx(-2 * smooth + 1, abs=1e-9)
+    i, k = 17, 16
+    reach = np.sort(np.abs(x - x[i]))[k - 1]
+    w = np.clip(1 - (np.abs(x - x[i]) / reach) ** 3, 0, None) ** 3
+    slope, level = np.polyfit(x, y, 1, w=np.sqrt(w))
+    assert kernels.lowess(x, y, 0.2, 1)[i] == pytest.approx(slope * x[i] + level, abs=1e-9)
+    assert kernels.lowess(np.zeros(5), np.arange(5.0)) == pytest.approx(np.full(5, 2.0))
+
+
 def test_trimmed_mean_and_lowess():
     assert kernels.trimmed_mean(np.array([[1.0, 2, 3, 100]]), 0.25)[0] == 2.5
     x = np.linspace(0, 1, 50)

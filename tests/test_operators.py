@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -313,7 +315,82 @@ def test_workflow_ends_early(spark):
     cells = spark.createDataFrame([(f"c{i}", i) for i in range(50)], "cell_id string, id long")
     assert workflows.consensus_pipeline(c, cells, stop_after="normalize").status == "stopped"
     assert workflows.consensus_pipeline(c, cells, feature_alpha=1e-9).status == "no_features_selected"
-    assert workflows.consensus_pipeline(c, cells, select_features=False, components=5).status in ("no_reproducible_pcs", "complete")
+
+
+def test_workflow_completes_on_structured_counts(spark):
+    """Two halves of cells, each with ten genes of its own, come apart; unstructured counts reproduce nothing."""
+    from cytoquill.plans import workflows
+
+    rng = np.random.default_rng(1)
+    means = np.ones((120, 60))
+    means[:60, :10] = means[60:, 10:20] = 5
+    cells = spark.createDataFrame([(f"c{i}", i) for i in range(120)], "cell_id string, id long")
+    out = workflows.consensus_pipeline(long(spark, rng.poisson(means)), cells, seed=123, select_features=False, components=20)
+    assert out.status == "complete" and out.diagnostics["k"] == 10 and out.tables["graph"].count() > 0
+    labels = {r["id"]: r["label"] for r in out.tables["labels"].collect()}
+    assert len(labels) == 120 and all(len({labels[i] for i in half}) == 1 for half in (range(60), range(60, 120))) and labels[0] != labels[60]
+    chosen = workflows.consensus_pipeline(long(spark, rng.poisson(means)), cells, seed=123, components=20)
+    assert chosen.status == "complete" and chosen.diagnostics["features"] < 60
+    assert {r["gene_id"] for r in chosen.tables["features_train"].where("selected").collect()} <= {f"g{j}" for j in range(20)} | {r["gene_id"] for r in chosen.tables["features_train"].collect()}
+    nothing = workflows.consensus_pipeline(long(spark, rng.poisson(1, (120, 60))), cells, seed=5, select_features=False, components=5)
+    assert nothing.status == "no_reproducible_pcs"
+
+
+def test_large_graphs_are_contracted_first(spark, monkeypatch):
+    from cytoquill.operators import community
+
+    cliques = [(10 * c + i, 10 * c + j, 1.0) for c in range(6) for i in range(10) for j in range(i)] + [(10 * c, 10 * c + 10, 0.1) for c in range(5)]
+    edges, nodes = spark.createDataFrame(cliques, "src long, dst long, weight double"), spark.range(63)
+    whole = {r["id"]: r["label"] for r in community.cluster(edges, nodes).collect()}
+    monkeypatch.setattr(community, "MOST_EDGES", 60)
+    parts = {r["id"]: r["label"] for r in community.cluster(edges, nodes).collect()}
+    groups = lambda of: {frozenset(i for i in of if of[i] == p) for p in set(of.values())}
+    assert groups(parts) == groups(whole) == {frozenset(range(10 * c, 10 * c + 10)) for c in range(6)} | {frozenset([i]) for i in (60, 61, 62)}
+
+
+def test_balanced_parts_cut_little():
+    from cytoquill.operators import community
+
+    rng = random.Random(3)
+    for _ in range(20):
+        names = list(range(24))
+        rng.shuffle(names)
+        edges = [(names[6 * c + i], names[6 * c + j], 1.0) for c in range(4) for i in range(6) for j in range(i)] + [(names[rng.randrange(24)], names[rng.randrange(24)], 0.3) for _ in range(12)]
+        part = community.balanced(24, edges, 4)
+        assert sorted(part.count(p) for p in range(4)) == [6, 6, 6, 6]
+        assert all(len({part[names[6 * c + i]] for i in range(6)}) == 1 for c in range(4))
+    assert community.balanced(0, [], 1) == [] and sorted(community.balanced(5, [], 2)) == [0, 0, 0, 1, 1]
+
+
+def test_each_sample_has_its_own_number_of_neighbours(spark):
+    from cytoquill.operators import modules
+
+    rho = [("s1", f"a{i:03}", f"a{j:03}", 0.5) for j in range(200) for i in range(j)] + [("s2", f"b{i}", f"b{j}", 0.5) for j in range(4) for i in range(j)]
+    got = modules.default_ks(spark.createDataFrame(rho, "sample string, gene_a string, gene_b string, rho double"))
+    assert {tuple(r) for r in got.collect()} == {("s1", modules.default_k(200)), ("s2", modules.default_k(4))} == {("s1", 5), ("s2", 3)}
+
+
+def test_iterative_size_factors_find_the_depths(spark):
+    rng = np.random.default_rng(4)
+    depth = np.array([0.5, 0.8, 1.0, 1.3, 2.0, 1.0, 0.7, 1.6])
+    depth /= np.exp(np.log(depth).mean())
+    y = rng.poisson(np.outer(rng.uniform(20, 200, 60), depth))
+    for g in range(60):
+        y[g, g % 8] = 0  # every gene has a zero
+    counts = spark.createDataFrame([(f"p{i}", f"g{g}", int(y[g, i])) for g in range(60) for i in range(8)], "pb_id string, gene_id string, n long")
+    made = design.build_design(spark.createDataFrame([(f"p{i}", "ab"[i % 2]) for i in range(8)], "pb_id string, c string"), "~ c")
+    got = {r["pb_id"]: r["size_factor"] for r in nbfit.iterative_size_factors(counts, made).collect()}
+    found = np.array([got[f"p{i}"] for i in range(8)])
+    assert np.log(found).mean() == pytest.approx(0, abs=1e-9) and np.corrcoef(np.log(found), np.log(depth))[0, 1] > 0.98
+
+
+def test_reports_that_are_too_long_are_an_error(spark, tmp_path, monkeypatch):
+    from cytoquill.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_ROWS", 3)
+    assert tables.write_json(spark.range(3), str(tmp_path / "a")).count("id") == 3
+    with pytest.raises(ValueError):
+        tables.write_json(spark.range(4), str(tmp_path / "b"))
 
 
 def test_workflow_keeps_every_gene(spark, monkeypatch):
