@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from cytoquill.sources.tables import own_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,9 +78,7 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="cytoquill-")
+        at = own_folder(spark)
         spark.sparkContext.setCheckpointDir(at)
     return at
 

@@ -200,7 +200,7 @@ def find_removals(docs: DataFrame, similarity_at_least: Fraction = Fraction(4, 5
                     if (row, row2) in served:
                         continue
                     served.add((row, row2))
-                    lines = normal_lines(text)
+                    lines = normal_lines(text) if text else []
                     wanted = [i for i in wanted if i < len(lines)]
                     out["row"] += [row] * len(wanted)
                     out["row2"] += [row2] * len(wanted)
