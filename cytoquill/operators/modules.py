@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +61,7 @@ def weighted_edges(union: DataFrame, cuts: DataFrame, by: Sequence[str] = ("samp
     return j.withColumn("w_mean", mean).drop(*[f"{c}_{s}" for s in ("train", "val") for c in ("cpos", "cneg")])
 
 
-def default_k(n: int, least: int = 5, most: int = 50) -> int:
+def default_k(n: int, least: int = 10, most: int = 200) -> int:
     """ln n rounded, ``least`` at least, ``most`` and n - 1 at most."""
     return min(max(least, round(math.log(max(n, 1)))), most, max(n - 1, 0))
 
@@ -69,7 +69,7 @@ def default_k(n: int, least: int = 5, most: int = 50) -> int:
 def default_ks(rho: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
     """``by…, k``: ``default_k`` of each sample's own number of genes, of both ends of its pairs."""
     genes = rho.select(*by, F.explode(F.array("gene_a", "gene_b")).alias("g")).groupBy(*by).agg(F.count_distinct("g").alias("n"))
-    k = F.least(F.greatest(F.lit(5), F.round(F.log("n")).cast("int")), F.lit(50), F.col("n").cast("int") - 1)
+    k = F.least(F.greatest(F.lit(10), F.round(F.log("n")).cast("int")), F.lit(200), F.col("n").cast("int") - 1)
     return genes.select(*by, k.alias("k"))
 
 
@@ -215,3 +215,18 @@ def run_cohort(rho: DataFrame, cuts: DataFrame, k: int | None = None, resolution
         "edges": edges, "positive": positive, "modules": degree_strength(positive, modules), "stats": intra_stats(positive, modules), "antagonism": pairs,
         "replicated": replicated, "support": support(modules, replicated), "replicated_antagonism": replicated_antagonism(pairs, replicated),
     }
+
+
+def sets_from_results(results: DataFrame, meta_of: Mapping[str, str], modules: DataFrame, profiles: DataFrame, alpha: float = 0.05, min_support: int = 1, top_modules: int = 5, core: int = 50, extended: int = 200, pvalue: str | None = None, effect: str | None = None) -> DataFrame:
+    """``publication_sets`` of tested contrasts: those that ``meta_of`` names, each as its meta cluster; the others don't count.
+
+    ``results``: contrast, gene_id or gene_name, and columns of p (``pvalue``, else ``padj``) and effect (``stat``, else ``log2FoldChange``) unless named.
+    """
+    first = lambda *names: next((c for c in names if c in results.columns), None)
+    gene, p, e = first("gene_id", "gene_name"), pvalue or first("pvalue", "padj"), effect or first("stat", "log2FoldChange")
+    if gene is None or p is None or e is None:
+        raise ValueError(f"results need columns of gene, p and effect; there are {', '.join(results.columns)}")
+    spark = results.sparkSession
+    names = spark.createDataFrame([(str(k), str(v)) for k, v in meta_of.items()], "contrast string, meta_cluster string")
+    de = results.join(F.broadcast(names), "contrast").select("meta_cluster", F.col(gene).alias("gene_id"), F.col(p).alias("pvalue"), F.col(e).alias("effect"))  # a row for each contrast
+    return publication_sets(de, modules, profiles, alpha, min_support, top_modules, core, extended)

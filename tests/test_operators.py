@@ -367,7 +367,7 @@ def test_each_sample_has_its_own_number_of_neighbours(spark):
 
     rho = [("s1", f"a{i:03}", f"a{j:03}", 0.5) for j in range(200) for i in range(j)] + [("s2", f"b{i}", f"b{j}", 0.5) for j in range(4) for i in range(j)]
     got = modules.default_ks(spark.createDataFrame(rho, "sample string, gene_a string, gene_b string, rho double"))
-    assert {tuple(r) for r in got.collect()} == {("s1", modules.default_k(200)), ("s2", modules.default_k(4))} == {("s1", 5), ("s2", 3)}
+    assert {tuple(r) for r in got.collect()} == {("s1", modules.default_k(200)), ("s2", modules.default_k(4))} == {("s1", 10), ("s2", 3)}
 
 
 def test_iterative_size_factors_find_the_depths(spark):
