@@ -149,9 +149,9 @@ def balanced_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.partition(_graph(spark, sf_dir), _labels(spark, sf_dir), 10, "label")
 
 
-@query("gram_matrix", "SELECT i::int AS i, j::int AS j, round(sum(embedding[i]::double * embedding[j]::double), 6) AS g FROM embeddings, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL")
+@query("gram_matrix", "SELECT i::int AS i, j::int AS j, round(sum(embedding[i]::double * embedding[j]::double), 6) AS g FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = domain.vectors(spark, sf_dir, 1, 8)
+    v = domain.vectors(spark, sf_dir)
     _, _, _, gram = decompose.cross_products(v.select(F.col("vec").alias("a"), F.col("vec").alias("b")), "a", "b")
     return spark.createDataFrame([(i + 1, j + 1, round(float(gram[i, j]), 6)) for i in range(len(gram)) for j in range(len(gram))], "i int, j int, g double")
 
