@@ -26,8 +26,8 @@ RULES: tuple[Rule, ...] = (
     Rule("block", "com/de/"),
 )
 
-#: Public suffixes of two labels; all others have one.
-SUFFIXES: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "co.za")
+#: Labels that form a public suffix together with a country code of two letters after them; all other suffixes have one label.
+SECOND_LEVEL: tuple[str, ...] = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org", "sch")
 
 
 def host_of(url: Column) -> Column:
@@ -40,15 +40,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
-    """The last label of a host, or the last two if they are a known suffix."""
+def _two_labels(second: Sequence[str]) -> str:
+    return rf"(?:{'|'.join(second)})\.[a-z][a-z]"
+
+
+def suffix_of(host: Column, second: Sequence[str] = SECOND_LEVEL) -> Column:
+    """The last label of a host, or the last two if they are a public suffix."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.rlike(f"^{_two_labels(second)}$"), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+def domain_of(host: Column, second: Sequence[str] = SECOND_LEVEL) -> Column:
     """The registered domain: the suffix with the label before it."""
-    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.rlike(f"^{_two_labels(second)}$"), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -83,7 +88,7 @@ def _strength(children: DataFrame) -> DataFrame:
     return s.select(((1 - F.coalesce(r, F.lit(0.5))) / F.coalesce(r, F.lit(0.5))).alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def host_reputation(outcomes: DataFrame, second: Sequence[str] = SECOND_LEVEL) -> DataFrame:
     """``host, domain, n, good, alpha, beta`` of each host in ``outcomes`` (host, n, good: rows may repeat a host).
 
     Beta-binomial posteriors from the top down: all pages, suffix, registered domain, host. The
@@ -92,7 +97,7 @@ def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) ->
     labelled page, each prior mean is 1/2. Null hosts count as the empty host.
     """
     hosts = outcomes.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.coalesce("good", F.lit(0))).alias("good"))
-    hosts = hosts.select("*", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
+    hosts = hosts.select("*", domain_of(F.col("host"), second).alias("domain"), suffix_of(F.col("host"), second).alias("suffix"))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = tops.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))
@@ -150,10 +155,9 @@ def rules_sql(rules: Sequence[Rule] = RULES) -> tuple[str, str]:
     return f"CASE{text} END", f"CASE{verdict} END"
 
 
-def oracle_sql(rules: Sequence[Rule] = RULES, suffixes: Sequence[str] = SUFFIXES, least_good: float = 0.5, z: float = 1.645) -> str:
+def oracle_sql(rules: Sequence[Rule] = RULES, second: Sequence[str] = SECOND_LEVEL, least_good: float = 0.5, z: float = 1.645) -> str:
     """``judge_urls`` over pages and labels in DuckDB's SQL."""
     text, verdict = rules_sql(rules)
-    known = ", ".join(f"'{s}'" for s in suffixes)
     cut = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
     strength = lambda t: f"""(SELECT (1 - r) / r FROM (SELECT coalesce(least(greatest(CASE WHEN t > 0 AND k > 1 THEN CASE WHEN (t - nn / t - (k - 1)) * (g / t) * (1 - g / t) = 0 THEN NULL
         ELSE (gg - t * (g / t) * (g / t) - (k - 1) * (g / t) * (1 - g / t)) / ((t - nn / t - (k - 1)) * (g / t) * (1 - g / t)) END END, 0.001), 0.5), 0.5) AS r
@@ -164,8 +168,8 @@ def oracle_sql(rules: Sequence[Rule] = RULES, suffixes: Sequence[str] = SUFFIXES
     l AS (SELECT doc_id AS page_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 WHEN quality IS NOT NULL OR toxic = 1 THEN 0 END AS good FROM labels),
     o AS (SELECT page_id, count(*) AS n, sum(good) AS good FROM l WHERE page_id IS NOT NULL AND good IS NOT NULL GROUP BY page_id),
     h AS (SELECT host, sum(coalesce(n, 0))::double AS n, sum(coalesce(good, 0))::double AS good,
-                 CASE WHEN {cut(2)} IN ({known}) THEN {cut(3)} ELSE {cut(2)} END AS domain,
-                 CASE WHEN {cut(2)} IN ({known}) THEN {cut(2)} ELSE {cut(1)} END AS suffix
+                 CASE WHEN regexp_full_match({cut(2)}, '{_two_labels(second)}') THEN {cut(3)} ELSE {cut(2)} END AS domain,
+                 CASE WHEN regexp_full_match({cut(2)}, '{_two_labels(second)}') THEN {cut(2)} ELSE {cut(1)} END AS suffix
           FROM p LEFT JOIN o USING (page_id) GROUP BY host),
     d AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h GROUP BY suffix, domain),
     s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY suffix),

@@ -406,6 +406,14 @@ def test_url_rules(spark):
     assert len(got) == 10
 
 
+def test_very_long_urls(spark):
+    host, path = "h" * 300_000 + ".org", "/" + "p" * 2_000_000
+    pages = spark.createDataFrame([(1, f"http://{host}{path}?{'q' * 1_000_000}"), (2, "x" * 1_000_000), (3, "http://" + "a." * 50_000 + "com/fr/"), (4, "://" * 100_000)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.judge_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, good int")).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == (host, path, "org/") and (got[2]["host"], got[2]["path"]) == ("", "")
+    assert got[3]["rule"] == "com/fr/" and got[3]["registered_domain"] == "a.com" and (got[4]["host"], got[4]["path"]) == (":", "//" + "://" * 99_998)
+
+
 def test_bad_hosts_are_blocked_on_evidence(spark):
     pages = [(i, f"http://{'bad' if i < 40 else f'h{i % 20}'}.site{'x' if i < 40 else i % 7}.net/a") for i in range(400)] + [(1000, "http://once.sitez.net/"), (1001, "http://bad.sitex.net/new")]
     labels = [(i, int(i >= 40)) for i in range(0, 400, 2)] + [(1000, 0), (3, None), (None, 1)]
@@ -416,8 +424,8 @@ def test_bad_hosts_are_blocked_on_evidence(spark):
 def test_suffixes(spark):
     from pyspark.sql import functions as F
 
-    r = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x",), ("",), ("w.x.com",)], "h string").select(url_filters.domain_of(F.col("h")), url_filters.suffix_of(F.col("h"))).collect()
-    assert list(map(tuple, r)) == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x", "x"), ("", ""), ("x.com", "com")]
+    r = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x",), ("",), ("w.x.com",), ("a.b.com.br",), ("x.b.co.site",), ("y.go.jp",)], "h string").select(url_filters.domain_of(F.col("h")), url_filters.suffix_of(F.col("h"))).collect()
+    assert list(map(tuple, r)) == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("x", "x"), ("", ""), ("x.com", "com"), ("b.com.br", "com.br"), ("co.site", "site"), ("y.go.jp", "go.jp")]
     assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, good int")).count() == 0
 
 
