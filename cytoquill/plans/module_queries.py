@@ -198,7 +198,7 @@ def publication_gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.publication_sets(de, modules.support(_labels(spark, sf_dir), _replicated(spark, sf_dir)), profiles, 0.05, 2, 2, 3, 6)
 
 
-@query("artifact_index", _ctes(_RHO, f"SELECT sample, split, n_genes, count(*) OVER (PARTITION BY sample) AS n_splits, {CPOS}::double AS cpos, {CNEG}::double AS cneg FROM (SELECT sample, split, count(DISTINCT g) AS n_genes FROM (SELECT sample, split, gene_a AS g FROM rho UNION ALL SELECT sample, split, gene_b FROM rho) GROUP BY ALL)"))
+@query("artifact_index", _ctes(_RHO, f"SELECT sample, split, n_genes, count(*) OVER (PARTITION BY sample) AS n_splits, (SELECT count(*) = count(DISTINCT (gene_a, gene_b)) FROM rho r WHERE r.sample = s.sample AND r.split = s.split) AS pairs_unique, {CPOS}::double AS cpos, {CNEG}::double AS cneg FROM (SELECT sample, split, count(DISTINCT g) AS n_genes FROM (SELECT sample, split, gene_a AS g FROM rho UNION ALL SELECT sample, split, gene_b FROM rho) GROUP BY ALL) s"))
 def artifact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.artifact_index(_rho(spark, sf_dir), _cuts(spark, sf_dir))
 

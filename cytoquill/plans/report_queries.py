@@ -11,14 +11,14 @@ from cytoquill.plans.base import query
 from cytoquill.sources.tables import read_table
 
 
-@query("contrast_summary", """SELECT l_shipmode AS contrast, count(*) AS n, count(nullif(l_discount, 0.05)) AS n_tested, count(*) FILTER (l_discount <= 0.04 AND l_tax > 0.04) AS n_up,
-    count(*) FILTER (l_discount <= 0.04 AND l_tax < 0.04) AS n_down FROM lineitem GROUP BY l_shipmode""")
+@query("contrast_summary", """SELECT l_returnflag || l_linestatus AS contrast, count(*) AS n, count(*) FILTER (l_linenumber <> 5) AS n_tested, count(*) FILTER (l_linenumber <= 2 AND l_suppkey % 3 = 2) AS n_up,
+    count(*) FILTER (l_linenumber <= 2 AND l_suppkey % 3 = 0) AS n_down FROM lineitem GROUP BY ALL""")
 def contrast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ship modes as contrasts, discounts as adjusted p (some null), taxes as effects."""
+    """Flag and status as contrasts; adjusted p from line numbers, some null, and effects from suppliers."""
     li = read_table(spark, sf_dir, "lineitem")
-    p = F.when(F.col("l_discount") != 0.05, F.col("l_discount"))
-    tested = li.select(F.col("l_shipmode").alias("contrast"), p.alias("padj"), (F.round("l_tax", 2) - F.lit(0.04)).alias("log2FoldChange"))
-    return reports.Contrasts(tested).summary(0.04)
+    p = F.when(F.col("l_linenumber") != 5, F.col("l_linenumber") / 10)
+    tested = li.select(F.concat("l_returnflag", "l_linestatus").alias("contrast"), p.alias("padj"), (F.col("l_suppkey") % 3 - 1).alias("log2FoldChange"))
+    return reports.Contrasts(tested).summary(0.2)
 
 
 _PAIRS = "SELECT o_orderpriority AS sample, 'g' || o_custkey AS gene_a, 'g' || (o_custkey * 7 + o_orderkey) % 97 AS gene_b FROM orders"

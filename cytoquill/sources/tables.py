@@ -90,6 +90,25 @@ def resolve_libraries(spec: str | Sequence[str] | None, available: Iterable[str]
     return out
 
 
+def library_paths(spark: SparkSession, folders: Sequence[str], suffix: str = ".gmt") -> dict[str, str]:
+    """Library -> path of the gene-set files of some folders, through Spark's file system; of one name the first folder's counts, folders that aren't there are passed over."""
+    out: dict[str, str] = {}
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+        for name in names:
+            if name.endswith(suffix):
+                out.setdefault(name.removesuffix(suffix), f"{folder.rstrip('/')}/{name}")
+    return out
+
+
+def load_libraries(spark: SparkSession, spec: str | Sequence[str] | None, folders: Sequence[str]) -> DataFrame:
+    """The libraries that ``spec`` names (see ``resolve_libraries``), each from the first of ``folders`` that has it: a user's own, then those shipped elsewhere."""
+    paths = library_paths(spark, folders)
+    return read_gmt(spark, {name: paths[name] for name in resolve_libraries(spec, paths)})
+
+
 def correlation_artifact_fields(artifacts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``artifacts`` (…, provenance: JSON text) with a column for each key; bad JSON gives nulls."""
     schema = "map<string,string>"
@@ -97,12 +116,18 @@ def correlation_artifact_fields(artifacts: DataFrame, keys: Sequence[str]) -> Da
     return artifacts.withColumns({k: parsed[k] for k in keys}).withColumn("provenance_sha256", F.sha2("provenance", 256))
 
 
-def artifact_index(corr: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """A row for each sample and split of ``corr`` (sample, split, gene_a, gene_b, rho): genes, cutoffs, and whether both splits are there."""
+def artifact_index(corr: DataFrame, cutoffs: DataFrame, require_splits: bool = False) -> DataFrame:
+    """A row for each sample and split of ``corr`` (sample, split, gene_a, gene_b, rho): genes, cutoffs, how many splits the sample has, and whether each pair stands there once.
+
+    With ``require_splits`` a sample of fewer than two splits raises ValueError.
+    """
+    pairs = corr.groupBy("sample", "split").agg((F.count("*") == F.count_distinct(F.struct("gene_a", "gene_b"))).alias("pairs_unique"))
     ids = corr.select("sample", "split", F.explode(F.array("gene_a", "gene_b")).alias("gene_id"))
     n = ids.groupBy("sample", "split").agg(F.count_distinct("gene_id").alias("n_genes"))
     both = n.groupBy("sample").agg(F.count("*").alias("n_splits"))
-    return n.join(both, "sample").join(cutoffs, ["sample", "split"], "left")
+    if require_splits and (bad := both.where("n_splits < 2").first()) is not None:
+        raise ValueError(f"sample {bad['sample']!r} lacks a split")
+    return n.join(both, "sample").join(pairs, ["sample", "split"]).join(cutoffs, ["sample", "split"], "left")
 
 
 #: Rows of a report in one JSON text, at most.

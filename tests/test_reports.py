@@ -145,3 +145,22 @@ def test_publication_sets_from_results(spark):
     assert modules.sets_from_results(de, {}, known, profiles).count() == 0
     with pytest.raises(ValueError, match="p and effect"):
         modules.sets_from_results(de.drop("padj"), {"k1": "m"}, known, profiles)
+
+
+def test_artifacts_and_libraries_that_lack_something(spark, tmp_path):
+    from cytoquill.sources import tables
+
+    corr = spark.createDataFrame([("s", "train", "a", "b", 0.1), ("s", "train", "a", "b", 0.2), ("s", "val", "a", "b", 0.1), ("t", "val", "a", "c", 0.1)], "sample string, split string, gene_a string, gene_b string, rho double")
+    cuts = spark.createDataFrame([("s", "train", 0.5)], "sample string, split string, cpos double")
+    got = {(r["sample"], r["split"]): (r["n_genes"], r["n_splits"], r["pairs_unique"], r["cpos"]) for r in tables.artifact_index(corr, cuts).collect()}
+    assert got == {("s", "train"): (2, 2, False, 0.5), ("s", "val"): (2, 2, True, None), ("t", "val"): (2, 1, True, None)}
+    with pytest.raises(ValueError, match="'t'"):
+        tables.artifact_index(corr, cuts, require_splits=True)
+    for folder, name, text in (("own", "h.gmt", "P1\tx\tA\tB\n"), ("shipped", "h.gmt", "P9\tx\tZ\n"), ("shipped", "k.gmt", "P2\tx\tC\n")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    folders = [str(tmp_path / f) for f in ("gone", "own", "shipped")]
+    assert {(r["library"], r["pathway"]) for r in tables.load_libraries(spark, None, folders).collect()} == {("h", "P1"), ("k", "P2")}
+    assert tables.load_libraries(spark, "k", folders).count() == 1
+    with pytest.raises(FileNotFoundError):
+        tables.load_libraries(spark, "x", folders)
