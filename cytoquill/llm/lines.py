@@ -102,21 +102,23 @@ def postings(docs: DataFrame, width: int, count: int, rows: int, bits: int) -> D
         for batch in batches:
             for part in pieces(batch, 4 << 20):
                 distinct = list({line: None for text in part.column(0).to_pylist() if text for line in normal_lines(text) if len(line) >= width})
-                if not distinct:
-                    continue
-                whose, found = bands(distinct, width, count, rows)
-                keys = found.reshape(-1)
-                near = np.tile(digests(distinct)[:, 0].view(np.uint64)[whose], count)
-                bucket = (keys >> np.uint64(64 - bits)).astype(np.uint32)
-                order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-                bucket, near = bucket[order], near[order]
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                ends = np.append(cuts, len(bucket))
-                packed = [
-                    pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-                    for x in ((keys >> np.uint64(32 - bits)).astype(np.uint32)[order], near.astype(np.uint32), (near >> np.uint64(32)).astype(np.uint16))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *packed], names=["bucket", "keys", "low", "high"])
+                for first in range(0, len(distinct), 16_384):  # short lines are many
+                    yield packed(distinct[first : first + 16_384])
+
+    def packed(lines: list[str]) -> pa.RecordBatch:
+        whose, found = bands(lines, width, count, rows)
+        keys = found.reshape(-1)
+        near = np.tile(digests(lines)[:, 0].view(np.uint64)[whose], count)
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+        bucket, near = bucket[order], near[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(cuts, len(bucket))
+        columns = [
+            pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+            for x in ((keys >> np.uint64(32 - bits)).astype(np.uint32)[order], near.astype(np.uint32), (near >> np.uint64(32)).astype(np.uint16))
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *columns], names=["bucket", "keys", "low", "high"])
 
     return map_batches(docs.select("text"), run, "bucket int, keys binary, low binary, high binary")
 
