@@ -122,11 +122,11 @@ def parse_sequence(page: str | None) -> list[dict]:
     return p.items
 
 
-def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id, items`` of each page. Null and empty pages: no items; broken HTML is read as far as it goes."""
+def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", kinds: tuple[str, ...] = ("text", "media")) -> DataFrame:
+    """``id, items`` of each page, with the items of the wanted kinds at their positions among all. Null and empty pages: no items; broken HTML is read as far as it goes."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {"id": cols["id"], "items": [parse_sequence(x) for x in cols["html"]]}
+        return {"id": cols["id"], "items": [[i for i in parse_sequence(x) if i["kind"] in kinds] for x in cols["html"]]}
 
     return arrow_map(pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")), run, f"id long, items array<{ITEM}>")
 
@@ -195,19 +195,23 @@ def pad(raw: bytes) -> bytes:
 
 
 def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``page_id, html``: a page for each document, its lines as paragraphs; in their midst stands a figure that refers to the padded text by digest."""
+    """``page_id, html``: a page for each document, its lines as paragraphs; in their midst stands a figure that refers to the padded text by digest.
 
-    def page(text: str) -> str:
-        raw = text.encode()
-        figure = f'<figure><img src="{SCHEME}{hashlib.sha256(pad(raw)).hexdigest()}" data-bytes="{len(raw)}" alt=""><figcaption>{len(raw)} bytes of text</figcaption></figure>'
-        lines = html.escape(text, quote=False).split("\n") if text else []
-        half = len(lines) // 2
-        return "".join([*(f"<p>{x}</p>" for x in lines[:half]), figure, *(f"<p>{x}</p>" for x in lines[half:])])
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        return {"page_id": cols["doc_id"], "html": [page(t or "") for t in cols["text"]]}
-
-    return arrow_map(_two(docs, id_col, text_col), run, "page_id long, html string")
+    Pages are put together by Spark's own functions, so that texts go to Python once, as the pages that are read.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    raw = F.encode(text, "UTF-8")
+    size = F.octet_length(raw)
+    padded = F.rpad(raw, F.greatest(F.ceil(size / WIDTH) * WIDTH, F.lit(WIDTH)).cast("int"), F.lit(b"\0"))
+    n = size.cast("string")
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(padded, 256), F.lit('" data-bytes="'), n, F.lit('" alt=""><figcaption>'), n, F.lit(" bytes of text</figcaption></figure>"))
+    escaped = text
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(name))
+    rows = docs.select(F.col(id_col).cast("long").alias("page_id"), figure.alias("figure"), F.when(text != "", F.split(escaped, "\n", -1)).otherwise(F.array().cast("array<string>")).alias("lines"))
+    half = F.floor(F.size("lines") / 2).cast("int")
+    paragraphs = lambda first, count: F.array_join(F.transform(F.slice("lines", first, count), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    return rows.select("page_id", F.concat(paragraphs(F.lit(1), half), "figure", paragraphs(half + 1, F.size("lines"))).alias("html"))
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,8 +28,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    items = media.resolve(media.interleave(media.text_pages(docs)), media.media_features(media.text_media(docs)))
-    return items.where("kind = 'media'").select(
+    items = media.resolve(media.interleave(media.text_pages(docs), kinds=("media",)), media.media_features(media.text_media(docs)))
+    return items.select(
         F.col("id").alias("doc_id"),
         F.col("bytes").alias("n_bytes"),
         F.col("media_payload_bytes").alias("payload_bytes"),
