@@ -288,6 +288,27 @@ def test_near_duplicates_of_no_rows(no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.keep_one(no_docs).count() == 0
 
 
+def test_hot_keys_are_joined_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(k, i) for i in range(300) for k in ([0] if i < 200 else [i, None])], "k long, i long")
+    other = spark.createDataFrame([(k, 10 * k) for k in range(0, 300, 2)], "k long, v long")
+    hot = rows.groupBy("k").count().where(F.col("count") * 4 > 300).where("k is not null")
+    for how in ("inner", "left"):
+        got = similarity.join_hot(rows, other, ["k"], hot, how)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(other, ["k"], how).collect()))
+    assert [r["k"] for r in hot.collect()] == [0]
+
+
+def test_tables_are_small_by_bytes_not_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.range(10).withColumn("lines", F.sequence(F.lit(1), F.lit(1000)))
+    assert similarity.few(df, "lines") and similarity.few(df)
+    monkeypatch.setattr(similarity, "FEW_BYTES", 10_000)
+    assert not similarity.few(df, "lines") and similarity.few(df)
+
+
 def test_few_and_many_links_agree():
     rng = np.random.default_rng(0)
     for _ in range(50):
