@@ -11,18 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cytoquill.functions import special
+from cytoquill.sources.tables import checkpointed
 
 
-def adjust(df: DataFrame, p: str, by: Sequence[str], tie: Sequence[str], name: str = "padj") -> DataFrame:
-    """``df`` with Benjamini-Hochberg adjusted p over the groups ``by``, in two window passes over one partitioning.
+#: Spans of p to each power of two.
+SPANS = 64
 
-    Nulls stay out of the count and stay null. ``tie``: columns that make the order of equal p total.
+
+def _alike(a: DataFrame, b: DataFrame, keys: Sequence[str], on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` where ``keys``, which may be null, and ``on`` are equal; the columns of ``b`` that aren't among them are added."""
+    b = b.withColumnsRenamed({c: f"_b_{c}" for c in (*keys, *on)})
+    same = [a[c].eqNullSafe(b[f"_b_{c}"]) for c in keys] + [a[c] == b[f"_b_{c}"] for c in on]
+    return a.join(b, same, how).drop(*[f"_b_{c}" for c in (*keys, *on)])
+
+
+def adjust(df: DataFrame, p: str, by: Sequence[str], tie: Sequence[str] = (), name: str = "padj") -> DataFrame:
+    """``df`` with Benjamini-Hochberg adjusted p over the groups ``by``.
+
+    Nulls stay out of the count and stay null. Equal p have one adjusted p, that of the last of them,
+    whatever their order (``tie``), so ranks are taken of a group's different p only. These lie in
+    spans of p, each a window of its own; what a whole group puts in order is a row for each span.
     """
-    order = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), *tie)
-    raw = F.col(p) * F.count(p).over(Window.partitionBy(*by)) / F.row_number().over(order)
-    df = df.withColumn("_raw", raw)
-    low = F.min("_raw").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return df.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), low))).drop("_raw")
+    rows, by = checkpointed(df), list(by)
+    span = F.coalesce(F.floor(F.log2(F.col("_p").cast("double")) * SPANS), F.lit(-(1 << 20)))
+    span = F.when(F.isnan(F.col("_p").cast("double")), F.lit(1 << 20)).otherwise(span)
+    each = rows.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_c")).withColumn("_s", span)
+    up, down = (Window.partitionBy(*by, "_s").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("_p"), F.desc("_p")))
+    whole = Window.partitionBy(*by)
+    before = each.groupBy(*by, "_s").agg(F.sum("_c").alias("_n"))
+    before = before.select(*by, "_s", (F.sum("_n").over(whole.orderBy("_s")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_m"))
+    raw = _alike(each.withColumn("_r", F.sum("_c").over(up)), before, by, ["_s"]).withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_r")))
+    after = raw.groupBy(*by, "_s").agg(F.min("_raw").alias("_low"))
+    after = after.select(*by, "_s", F.min("_low").over(whole.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    low = _alike(raw.select(*by, "_s", "_p", F.min("_raw").over(down).alias("_low")), after, by, ["_s"])
+    found = low.select(*by, F.col("_p").alias(p), F.least(F.lit(1.0), "_low", "_after").alias(name))
+    return _alike(rows, found, by, [p], "left")
 
 
 @F.pandas_udf(DoubleType())

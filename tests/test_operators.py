@@ -440,3 +440,22 @@ def test_registered_workflow_takes_every_component(spark, monkeypatch):
     monkeypatch.setattr(workflows, "de_pipeline", lambda graph, counts, *a: seen.append(counts.count()) or workflows.Result("complete", {"enrichment": counts}))
     workflow_queries.workflow_de(spark, "")
     assert seen == [64]
+
+
+def test_adjusted_p_of_large_groups(spark):
+    """Running minima over all rows that follow take a number of steps that grows with the square of a group; equal p, nulls and null groups keep their places."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    p = F.when(F.col("id") % 1000 == 7, None).when(F.col("id") % 10 == 3, 1.0).otherwise((F.col("id") * 7919 % 200_003 + 1) / 200_003.0)
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "a").alias("g"), p.alias("p"))
+    out = genesets.adjust(df, "p", ("g",), ("id",))
+    assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = out.orderBy("id").toPandas()
+    assert got["id"].tolist() == list(range(n))
+    for own in (got[got["g"] == "a"], got[got["g"].isna()]):
+        some = own[own["p"].notna()].sort_values("p")
+        raw = some["p"].to_numpy() * len(some) / np.arange(1, len(some) + 1)
+        want = np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
+        assert some["padj"].to_numpy() == pytest.approx(want, rel=1e-12)
+        assert own[own["p"].isna()]["padj"].isna().all()
