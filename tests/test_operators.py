@@ -459,3 +459,46 @@ def test_adjusted_p_of_large_groups(spark):
         want = np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
         assert some["padj"].to_numpy() == pytest.approx(want, rel=1e-12)
         assert own[own["p"].isna()]["padj"].isna().all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_nearest_of_streamed_vectors(metric):
+    """Queries keep their best of vectors that pass by: copies, far offsets, zeros, NaN and too few vectors; memory is that of a tile, however many pass."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    y = np.round(rng.normal(size=(9000, 8)), 2) + (50.0 if metric == "l2" else 0.0)
+    y[100:140], y[200], y[300, 2] = y[0], 0.0, np.nan
+    ids, k = rng.permutation(9000) + 10**12, 30
+    near = knn._Nearest(ids[:400], y[:400], k, metric, 9)
+    near.see(ids[:7], y[:7])
+    tracemalloc.start()
+    near.see(ids[7:], y[7:])
+    for _ in range(2):
+        near.see(ids[:0], y[:0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    got = {}
+    for b in near.found():
+        for src, rank, dst, dist in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(src, []).append((rank, dst, dist))
+    for i in range(0, 400, 7):
+        a = y[i]
+        norm = lambda v: np.where(n > 0, n, 1) if (n := np.sqrt((v * v).sum(-1))) is not None else n
+        d = ((a - y) ** 2).sum(1) if metric == "l2" else -(y @ a) if metric == "ip" else 1 - (y @ a) / norm(y) / norm(a)
+        d = np.round(d, 9) + 0.0
+        best = [j for j in np.lexsort((ids, ids != ids[i], d)) if not np.isnan(d[j])][:k]
+        assert [(r, dst) for r, dst, _ in got.get(ids[i], [])] == [(r + 1, ids[j]) for r, j in enumerate(best)]
+        assert [x for *_, x in got.get(ids[i], [])] == pytest.approx([d[j] for j in best], abs=2e-9)
+
+
+def test_nearest_are_dealt_out(spark):
+    """Some thousand vectors go to more than one task, and rows come out ranked."""
+    from pyspark.sql import functions as F
+
+    v = spark.range(2000).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3), F.lit(0.5)).alias("vec"))
+    out = knn.knn(v, 5)
+    got = out.withColumn("part", F.spark_partition_id()).toPandas()
+    assert len(got) == 10_000 and got["part"].nunique() > 1
+    assert (got.sort_values(["src", "rank"])["rank"].to_numpy().reshape(-1, 5) == np.arange(1, 6)).all()
