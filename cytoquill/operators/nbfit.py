@@ -92,7 +92,7 @@ def fit(counts: DataFrame, design: Design, size_factors: DataFrame | None = None
     ``counts``: pb_id, gene_id, n. Genes without counts have no row. Without size factors, ratios
     are taken, or positive counts if every gene has a zero.
     """
-    spark = counts.sparkSession
+    spark, counts = counts.sparkSession, checkpointed(counts)  # read by size factors and fits
     x, n = design.x, len(design.samples)
     p = x.shape[1]
     if n <= p:
@@ -237,6 +237,7 @@ def iterative_size_factors(counts: DataFrame, design: Design, rounds: int = 10,
 
 def vst(counts: DataFrame, samples: DataFrame, formula: str = "~ 1", trend: str = "parametric") -> tuple[DataFrame, Mapping[str, float]]:
     """``gene_id, pb_id, value`` of variance-stabilised counts, and the trend of dispersions that they were stabilised with."""
+    counts = checkpointed(counts)
     design = build_design(samples, formula)
     fitted = fit(counts, design, trend=trend, refit=False)
     factors = counts.sparkSession.createDataFrame(list(zip(design.samples, fitted.size.tolist(), strict=True)), "pb_id string, size_factor double")
@@ -333,6 +334,7 @@ def prior_scale(effect: np.ndarray, se: np.ndarray, low: float = 1e-6, high: flo
 
 def prepare(counts: DataFrame, samples: DataFrame, formula: str, min_counts: float = 10.0, min_variance: float = 0.0, genes: DataFrame | None = None) -> tuple[DataFrame, Design]:
     """Filtered counts and the design; FitError if no gene remains."""
+    counts = checkpointed(counts)
     kept = checks.gene_filter(counts, samples, min_counts, min_variance).select("gene_id")
     if genes is not None:
         kept = kept.join(genes.select("gene_id"), "gene_id", "left_semi")

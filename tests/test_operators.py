@@ -502,3 +502,34 @@ def test_nearest_are_dealt_out(spark):
     got = out.withColumn("part", F.spark_partition_id()).toPandas()
     assert len(got) == 10_000 and got["part"].nunique() > 1
     assert (got.sort_values(["src", "rank"])["rank"].to_numpy().reshape(-1, 5) == np.arange(1, 6)).all()
+
+
+def counted(spark, df):
+    """``df``, and how many of its rows have been made so far, by all that read it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(rows, df.schema), made
+
+
+def test_cohort_reads_correlations_once(spark):
+    rows = [(s, split, f"g{i}", f"g{j}", 0.9 if i // 3 == j // 3 else -0.4) for s in "ab" for split in ("train", "val") for i in range(9) for j in range(i + 1, 9)]
+    rho, made = counted(spark, spark.createDataFrame(rows, "sample string, split string, gene_a string, gene_b string, rho double"))
+    cuts = spark.createDataFrame([(s, split, 0.5, -0.3) for s in "ab" for split in ("train", "val")], "sample string, split string, cpos double, cneg double")
+    out = modules.run_cohort(rho, cuts)
+    assert sorted(r["support_n_samples"] for r in out["support"].collect()) == [2] * 9
+    assert out["modules"].count() == 18 and out["replicated"].count() == 6
+    assert made.value == len(rows)
+
+
+def test_stabilised_counts_are_read_once(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i}", f"g{j}", int(n)) for j in range(12) for i, n in enumerate(rng.poisson(20 + 5 * j, 8))]
+    counts, made = counted(spark, spark.createDataFrame(rows, "pb_id string, gene_id string, n long"))
+    samples = spark.createDataFrame([(f"s{i}",) for i in range(8)], "pb_id string")
+    assert nbfit.vst(counts, samples)[0].count() == 96
+    assert made.value == len(rows)
