@@ -533,3 +533,19 @@ def test_stabilised_counts_are_read_once(spark):
     samples = spark.createDataFrame([(f"s{i}",) for i in range(8)], "pb_id string")
     assert nbfit.vst(counts, samples)[0].count() == 96
     assert made.value == len(rows)
+
+
+def test_communities_hold_edges_in_arrays():
+    """Half a million edges in less than 200 bytes each; neighbours in the order of edges, repeated ones added up."""
+    import tracemalloc
+
+    rows = community._Rows(4, np.array([2, 0, 1, 2]), np.array([0, 1, 2, 0]), np.array([1.0, 2.0, 3.0, 0.5]))
+    assert [list(rows[v].items()) for v in range(4)] == [[(2, 1.5), (1, 2.0)], [(0, 2.0), (2, 3.0)], [(0, 1.5), (1, 3.0)], []]
+    rng, n = np.random.default_rng(5), 20_000
+    a = rng.integers(0, n, 500_000)
+    edges = (a, (a // 100 * 100 + rng.integers(0, 100, len(a))) % n, np.ones(len(a)))
+    tracemalloc.start()
+    community._Rows(n, *edges)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(a)
