@@ -6,7 +6,7 @@ driver holds only what is fitted across genes: two numbers of each gene for the
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -46,6 +46,18 @@ def gene_arrays(counts: DataFrame, design: Design) -> DataFrame:
     return rows.groupBy("gene_id").agg(F.collect_list("i").alias("at"), F.collect_list("n").alias("n"))
 
 
+#: Counts of genes times samples that are fitted at once.
+MOST_VALUES = 1_000_000
+
+
+def _few(batches: Iterable[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """Batches of as many genes as ``MOST_VALUES`` allow with ``n`` samples, one at least."""
+    step = max(1, MOST_VALUES // max(n, 1))
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at : at + step].reset_index(drop=True)
+
+
 def _matrix(pdf: pd.DataFrame, n: int) -> np.ndarray:
     y = np.zeros((len(pdf), n))
     for k, (at, c) in enumerate(zip(pdf["at"], pdf["n"], strict=True)):
@@ -110,7 +122,7 @@ def fit(counts: DataFrame, design: Design, size_factors: DataFrame | None = None
     arrays = gene_arrays(counts, design).persist()
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _few(batches, n):
             y = _matrix(pdf, n)
             yield pd.DataFrame({"gene_id": pdf["gene_id"], "base_mean": (y / size).mean(1), "disp": _genewise(y, x, size, high)[0]})
 
@@ -135,7 +147,7 @@ def fit(counts: DataFrame, design: Design, size_factors: DataFrame | None = None
         return fitted, shrunk, apart, final, kernels.fit_glm(y, x, size, final)
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _few(batches, n):
             y = _matrix(pdf, n)
             alpha, base = pdf["disp"].to_numpy(float).copy(), (y / size).mean(1)
             fitted, shrunk, apart, final, glm = (list(v) if isinstance(v, tuple) and not hasattr(v, "beta") else v for v in stages(y, alpha, base))
@@ -201,7 +213,7 @@ def iterative_size_factors(counts: DataFrame, design: Design, rounds: int = 10,
         now = size
 
         def fits(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in _few(batches, n):
                 y = _matrix(pdf, n)
                 alpha, mu = _genewise(y, x, now, high)
                 yield pd.DataFrame({"alpha": alpha, "y": list(y), "q": list(mu / now)})
@@ -255,9 +267,7 @@ def test(fitted: Fit, contrasts: Mapping[str, np.ndarray], null: float = 0.0, al
     vectors = {k: np.asarray(v, float) for k, v in contrasts.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _few(batches, len(x)):
             beta, mu = np.stack(pdf["beta"].to_numpy()), np.stack(pdf["mu"].to_numpy())
             alpha, empty = pdf["dispersion"].to_numpy(float), ~np.stack(pdf["mu"].to_numpy()).any(1)
             for name, c in vectors.items():
@@ -308,7 +318,7 @@ def shrink(fitted: Fit, column: str, alpha: float = 0.05) -> DataFrame:
     scale = prior_scale(rows["log2FoldChange"].to_numpy() * ln2, rows["lfcSE"].to_numpy() * ln2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _few(batches, len(x)):
             if len(pdf):
                 b, se, ok = kernels.shrink(np.stack(pdf["counts"].to_numpy()), x, size, pdf["dispersion"].to_numpy(float), np.stack(pdf["beta"].to_numpy()), index, scale)
                 yield pd.DataFrame({"gene_id": pdf["gene_id"].to_numpy(), "log2FoldChange": b[:, index] / ln2, "lfcSE": se / ln2, "converged": ok})

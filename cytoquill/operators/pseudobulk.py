@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytoquill.sources.tables import checkpointed
 
 #: Labels that are looked up for columns, at most.
 MOST_LABELS = 10_000
@@ -99,8 +100,8 @@ def apply_membership(membership: DataFrame, held_out: DataFrame, cells: DataFram
 
 def workflow(graph: DataFrame, counts: DataFrame, cells: DataFrame, settings: Mapping | None = None) -> dict[str, DataFrame]:
     """``membership``, ``counts``, ``totals`` and proportions of sample and cluster, plain and by depth."""
-    m = build(graph, cells, **(settings or {}))
-    pb = aggregate_counts(counts, m)
+    m = checkpointed(build(graph, cells, **(settings or {})))  # all tables read it
+    pb = checkpointed(aggregate_counts(counts, m))
     depth = counts.groupBy("cell_id").agg(F.sum("n").alias("weight"))
     out = {"membership": m, "counts": pb, "totals": totals(pb, m)}
     for label in ("sample", "cluster"):

@@ -549,3 +549,28 @@ def test_communities_hold_edges_in_arrays():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 * len(a)
+
+
+def test_fits_take_few_genes_at_once(spark, monkeypatch):
+    """Genes are fitted in slices when samples are many, with the same results; a workflow makes its memberships once."""
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i}", f"g{j}", int(n)) for j in range(10) for i, n in enumerate(rng.negative_binomial(4, 0.1, 12))]
+    counts = spark.createDataFrame(rows, "pb_id string, gene_id string, n long")
+    d = design.build_design(spark.createDataFrame([(f"s{i}", "ab"[i % 2]) for i in range(12)], "pb_id string, c string"), "~ 0 + c")
+    take = lambda: nbfit.fit(counts, d).genes.orderBy("gene_id").select("dispersion", "beta").toPandas()
+    whole = take()
+    monkeypatch.setattr(nbfit, "MOST_VALUES", 24)
+    assert [len(x) for x in nbfit._few([whole], 12)] == [2] * 5
+    few = take()
+    assert few["dispersion"].to_numpy() == pytest.approx(whole["dispersion"].to_numpy(), rel=1e-9)
+    assert np.stack(few["beta"]) == pytest.approx(np.stack(whole["beta"]), rel=1e-9)
+
+
+def test_pseudobulk_workflow_builds_once(spark):
+    edges, made = counted(spark, spark.createDataFrame([(i, (i + 1) % 40, 1.0) for i in range(40)], "src long, dst long, weight double"))
+    cells = spark.range(40).selectExpr("id AS cell_id", "'a' AS sample", "'k' AS cluster")
+    out = pseudobulk.workflow(edges, spark.range(40).selectExpr("id AS cell_id", "'g' AS gene_id", "1L AS n"), cells)
+    built = made.value
+    assert built and sum(r["n_cells"] for r in out["totals"].collect()) == 40
+    assert out["cluster_proportions"].count() == out["sample_weights"].count() == out["counts"].count() == 4
+    assert made.value == built
