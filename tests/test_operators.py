@@ -504,6 +504,50 @@ def test_nearest_are_dealt_out(spark):
     assert (got.sort_values(["src", "rank"])["rank"].to_numpy().reshape(-1, 5) == np.arange(1, 6)).all()
 
 
+def test_nearest_hold_few_pairs():
+    """A block's memory beside its queries and their best doesn't grow with the pairs that a tile of vectors shows it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    y, ids = rng.normal(size=(12_000, 64)), np.arange(12_000)
+    for metric in ("cosine", "l2"):
+        near = knn._Nearest(ids[:8000], y[:8000], 20, metric, 9)
+        tracemalloc.start()
+        near.see(ids, y)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6 and (near.count == 20).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_nearest_of_many_copies(metric, monkeypatch):
+    """Of equal vectors only the smallest ids, and each query itself, are looked at: pairs don't grow with the square of a group; rows are those of brute force."""
+    rng = np.random.default_rng(6)
+    y = np.round(rng.normal(size=(3000, 6)), 2)
+    y[rng.permutation(3000)[:2000]] = y[7]
+    ids, k, looked = rng.permutation(3000) * 3 + 10**9, 12, []
+    take = knn._Nearest._take
+    monkeypatch.setattr(knn._Nearest, "_take", lambda self, rows, *rest: (looked.append(len(rows)), take(self, rows, *rest))[1])
+    near = knn._Nearest(ids[:900], y[:900], k, metric, 9)
+    for at in range(0, 3000, 500):
+        near.see(ids[at : at + 500], y[at : at + 500])
+    assert sum(looked) < 900 * 6 * 60
+    d = {"l2": lambda a: ((a - y) ** 2).sum(1), "ip": lambda a: -(y @ a), "cosine": lambda a: 1 - (knn._unit(y) @ knn._unit(a[None])[0])}[metric]
+    for i in range(0, 900, 5):
+        dist = np.round(d(y[i]), 9) + 0.0
+        assert near.dst[i].tolist() == ids[np.lexsort((ids, ids != ids[i], dist))[:k]].tolist()
+
+
+def test_wide_vectors_make_small_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    v = spark.range(90).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3), F.lit(0.5)).alias("vec"))
+    one = sorted(knn.knn(v, 5).collect())
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 60)
+    out = knn.knn(v, 5)
+    assert out.rdd.getNumPartitions() == 5 and sorted(out.collect()) == one
+
+
 def counted(spark, df):
     """``df``, and how many of its rows have been made so far, by all that read it."""
     made = spark.sparkContext.accumulator(0)
