@@ -595,6 +595,18 @@ def test_communities_hold_edges_in_arrays():
     assert peak < 200 * len(a)
 
 
+def test_balanced_parts_of_a_hub():
+    """A node that thousands name as their neighbour costs its edges, not their square; sizes stay even."""
+    import time
+
+    n = 24_000
+    edges = [(0, v, 500.0) for v in range(1, n)] + [(v, v + 1, 900.0 if v % 10 else 1.0) for v in range(1, n - 1)]
+    start = time.process_time()
+    out = community.balanced(n, edges, n // 10)
+    assert time.process_time() - start < 15
+    assert sorted(np.bincount(out)) == [10] * (n // 10)
+
+
 def test_fits_take_few_genes_at_once(spark, monkeypatch):
     """Genes are fitted in slices when samples are many, with the same results; a workflow makes its memberships once."""
     rng = np.random.default_rng(2)
