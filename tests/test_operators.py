@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -548,6 +549,18 @@ def test_wide_vectors_make_small_blocks(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 5 and sorted(out.collect()) == one
 
 
+@pytest.mark.parametrize("name", ["consensus_overlap_stats", "graph_bad_ends", "graph_within_cluster", "graph_sym_avg", "graph_top_edges", "graph_undirected"])
+def test_python_of_graph_queries_is_one_search(spark, name):
+    """All that runs in Python is the search of bounded blocks, once for each embedding, so an executor's Python memory is that of ``_Nearest``."""
+    from cytoquill.plans import registry
+
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    steps = [line for line in final.splitlines() if re.search("Python|Pandas|InArrow", line)]
+    assert len(steps) == (2 if name == "consensus_overlap_stats" else 1) and all("MapInArrow run(" in line for line in steps), final
+
+
 def counted(spark, df):
     """``df``, and how many of its rows have been made so far, by all that read it."""
     made = spark.sparkContext.accumulator(0)
