@@ -549,7 +549,7 @@ def test_wide_vectors_make_small_blocks(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 5 and sorted(out.collect()) == one
 
 
-@pytest.mark.parametrize("name", ["consensus_overlap_stats", "graph_bad_ends", "graph_within_cluster", "graph_sym_avg", "graph_top_edges", "graph_undirected"])
+@pytest.mark.parametrize("name", ["consensus_overlap_stats", "graph_bad_ends", "graph_within_cluster", "graph_sym_avg", "graph_top_edges", "modularity_of_labels", "graph_undirected"])
 def test_python_of_graph_queries_is_one_search(spark, name):
     """All that runs in Python is the search of bounded blocks, once for each embedding, so an executor's Python memory is that of ``_Nearest``."""
     from cytoquill.plans import registry
